@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somatlas.llm import chat, decontam, langid, ogg, packing, revisit, sharding, simhash, toxicity, zframes
+from somatlas.llm import chat, decontam, langid, ogg, oracles, packing, revisit, sharding, simhash, toxicity, zframes
 from somatlas.runtime import Scratch, ship_package, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -107,4 +107,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

@@ -30,7 +30,8 @@ def canonical_url(url: Column) -> Column:
     u = F.regexp_replace(u, r"^(?i)https?://(?:www\.)?", "")
     host = F.lower(F.regexp_extract(u, r"^[^/?]*", 0))
     host = F.regexp_replace(host, r":(?:80|443)$", "")
-    rest = F.regexp_replace(F.regexp_extract(u, r"^[^/?]*(.*)$", 1), rf"(?<=[?&])(?:{TRACKING_PARAMETERS})=[^&]*(?:&|$)", "")
+    rest = F.regexp_replace(F.regexp_extract(u, r"^[^/?]*(.*)$", 1), rf"([?&])(?:{TRACKING_PARAMETERS})=[^&]*", "$1")
+    rest = F.regexp_replace(F.regexp_replace(rest, "&+", "&"), r"\?&", "?")
     return F.concat(host, F.regexp_replace(F.regexp_replace(rest, r"[?&]+$", ""), r"/$", ""))
 
 
