@@ -2,11 +2,12 @@
 
 Terms are words and character n-grams of words; the vocabulary is the terms
 that tell the two labels apart in a bounded sample of labelled rows (chi
-square). Document frequencies are counted over all documents. The examples lie
-in a block-max inverted index: for each term and block of examples the largest
+square), and a length term that every text has, so that the cosine compares
+rates of terms and not just which there are. Document frequencies are counted
+over all documents. The examples lie in a block-max inverted index: for each term and block of examples the largest
 impact, so a block whose bound cannot reach the k-th best similarity so far is
-not opened; the neighbours are the exact ones. They vote by the square of
-their similarity, and a logistic curve fitted on leave-one-out votes turns the
+not opened; the neighbours are the exact ones. They vote with a weight that falls
+with their distance, and a logistic curve fitted on leave-one-out votes turns the
 vote into a probability.
 """
 
@@ -29,6 +30,8 @@ MIN_CHI2 = 30.0
 NEIGHBOURS = 15
 BLOCK = 64
 THRESHOLD = 0.7
+LENGTH_WEIGHT, LENGTH_BASE = 0.1, 50  # the length term's frequency: this share of the words, and of so many more
+NEAR = 0.02  # distance at which a vote counts half as much as at none
 SIZES = range(4, 6)
 
 
@@ -55,7 +58,7 @@ def choose_terms(counts: list[Counter], labels: np.ndarray, limit: int = TERMS,
 
 
 class Vectors:
-    """Texts to (term numbers, term frequencies) over a vocabulary."""
+    """Texts to (term numbers, term frequencies) over a vocabulary; the length term comes after it."""
 
     def __init__(self, vocabulary: list[str]):
         self.vocabulary = vocabulary
@@ -66,11 +69,12 @@ class Vectors:
         return Vectors, (self.vocabulary,)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        words = words_of(text)
         found: Counter = Counter()
-        for t in filter(None, map(self.memo.__getitem__, words_of(text))):
+        for t in filter(None, map(self.memo.__getitem__, words)):
             found.update(t)
-        at = np.array(sorted(found), np.int64)
-        return at, np.array([found[t] for t in at.tolist()], float)
+        at = sorted(found)
+        return np.array([*at, len(self.vocabulary)]), np.array([*(float(found[t]) for t in at), LENGTH_WEIGHT * (len(words) + LENGTH_BASE)])
 
 
 class NearestExamples:
@@ -89,7 +93,7 @@ class NearestExamples:
         self.largest = self.impacts.max(2).T.copy() if n_blocks else np.zeros((len(idf), 0))
 
     def unit(self, at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(tf)) * self.idf[at]
+        w = tf * self.idf[at]
         norm = math.sqrt(float(w @ w))
         return (at, w / norm) if norm else (at[:0], w[:0])
 
@@ -117,50 +121,96 @@ class NearestExamples:
 
 
 class Scorer:
-    """Vectors, index and calibration; ``score`` is the probability of label 1."""
+    """Vectors, index and calibration; ``score`` is the probability of label 1.
+
+    Examples with one vector are one entry of the index. An entry fills as many
+    of the k places as it has examples; the last one is cut to the places left
+    and votes with its mean, so that no order of the examples decides which of
+    many equally near ones vote.
+    """
 
     def __init__(self, keys: list, texts: list[str], labels: np.ndarray, totals: dict[int, int], vectors: Vectors, idf: np.ndarray):
-        self.vectors, self.keys, self.labels = vectors, keys, labels.astype(float)
-        rows = [vectors(t) for t in texts]
-        self.index = NearestExamples(rows, idf)
+        self.vectors, self.plain = vectors, None
         n = Counter(labels.tolist())
         weight = np.array([totals.get(int(y), 0) / n[int(y)] for y in labels])  # the sample has labels in other shares than the table
-        total = weight.sum() or 1.0
-        self.weight = weight / total
-        self.prior = float(self.labels @ weight / total)
-        votes = [self.vote(*self.index.nearest(*r, but=i)) for i, r in enumerate(rows)]
-        empty = np.array([v is None for v in votes], bool)
-        self.blank = float((self.labels[empty] @ weight[empty] + self.prior) / (weight[empty].sum() + 1)) if len(empty) else 0.0
-        self.curve = calibrate(np.array([v for v in votes if v is not None]), self.labels[~empty], weight[~empty])
-
-    def vote(self, ids: np.ndarray, sims: np.ndarray) -> float | None:
-        if not len(ids):
-            return None
-        w = sims**2 * self.weight[ids]
-        return float(w @ self.labels[ids] / w.sum())
+        weight /= weight.sum() or 1.0
+        found: dict[tuple, int] = {}
+        rows, group = [], []
+        for t in texts:
+            at, tf = vectors(t)
+            key = (at.tobytes(), np.round(tf / tf[-1], 9).tobytes())
+            if key not in found:
+                found[key] = len(rows)
+                rows.append((at, tf))
+            group.append(found[key])
+        self.index = NearestExamples(rows, idf)
+        self.count = np.bincount(group, minlength=len(rows)).astype(float)
+        self.weight = np.bincount(group, weight, minlength=len(rows))
+        self.toxic = np.bincount(group, weight * labels, minlength=len(rows))
+        self.keys = [None] * len(rows)
+        for g, key in reversed(list(zip(group, keys))):
+            self.keys[g] = key
+        votes = np.array([self.left_out(g, rows[g], w, w * y) for g, w, y in zip(group, weight, labels)])
+        self.curve = calibrate(votes, labels.astype(float), weight)
+
+    def vote(self, ids: np.ndarray, sims: np.ndarray) -> float:
+        """The neighbours' mean label, weighted by their examples and nearness."""
+        n = self.count[ids]
+        near = np.clip(NEIGHBOURS - (np.cumsum(n) - n), 0, n) / n / (NEAR + np.maximum(0.0, 1.0 - sims))
+        total = float(near @ self.weight[ids])
+        return float(near @ self.toxic[ids]) / total if total > 0 else 0.0
+
+    def left_out(self, g: int, row: tuple, weight: float, toxic: float) -> float:
+        """The vote on an example by all others."""
+        ids, sims = self.index.nearest(*row, but=g if self.count[g] == 1 else -1)
+        kept = self.count[g], self.weight[g], self.toxic[g]
+        self.count[g], self.weight[g], self.toxic[g] = kept[0] - 1, kept[1] - weight, kept[2] - toxic
+        v = self.vote(ids, sims)
+        self.count[g], self.weight[g], self.toxic[g] = kept
+        return v
 
     def score(self, text: str | None) -> tuple[float, list[tuple]]:
-        ids, sims = self.index.nearest(*self.vectors(text))
-        v = self.vote(ids, sims)
+        at, tf = self.vectors(text)
+        if len(at) == 1:  # only the length term: one vector, whatever the length
+            if self.plain is None:
+                self.plain = self.judge(at, tf)
+            return self.plain
+        return self.judge(at, tf)
+
+    def judge(self, at: np.ndarray, tf: np.ndarray) -> tuple[float, list[tuple]]:
+        ids, sims = self.index.nearest(at, tf)
         a, b = self.curve
-        p = self.blank if v is None else 1 / (1 + math.exp(-max(-500.0, min(500.0, a * v + b))))
-        return p, [(self.keys[i], round(float(s), 9), int(self.labels[i])) for i, s in zip(ids[:5].tolist(), sims)]
+        p = 1 / (1 + math.exp(-max(-500.0, min(500.0, a * self.vote(ids, sims) + b))))
+        return p, [(self.keys[i], round(float(x), 9), round(float(self.toxic[i] / self.weight[i]), 9)) for i, x in zip(ids[:5].tolist(), sims)]
+
 
+def calibrate(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """(a, b) of the logistic curve 1 / (1 + exp(-(a v + b))), fitted by Newton steps that are halved until the weighted loss falls.
 
-def calibrate(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """(a, b) of the logistic curve 1 / (1 + exp(-(a v + b))), by Newton steps on the weighted loss; a is never negative."""
+    The labels are drawn in a little (Platt, 1999), so separable votes have a
+    finite curve too; a is at least 1, so a larger vote is never a lower score.
+    """
     if not len(votes):
         return 1.0, 0.0
+    n1, n0 = labels.sum(), (1 - labels).sum()
+    target = np.where(labels > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x, w, beta = np.stack([votes, np.ones(len(votes))], 1), weight / weight.sum(), np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-x @ beta))
-        grad = x.T @ (w * (p - labels)) + ridge * beta * np.array([1.0, 0.0])
-        hess = (x * (w * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag([ridge, 1e-9])
-        step = np.linalg.solve(hess, grad)
-        beta -= np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-9:
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float(w @ (np.logaddexp(0, z) - target * z))
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
+        grad = x.T @ (w * (p - target))
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2), grad)
+        size = 1.0
+        while size > 1e-6 and loss(beta - size * step) > loss(beta):
+            size /= 2
+        beta = beta - size * step
+        if size * np.abs(step).max() < 1e-9 or size <= 1e-6:
             break
-    return max(0.0, float(beta[0])), float(beta[1])
+    return max(1.0, float(beta[0])), float(beta[1])
 
 
 def document_frequencies(docs: DataFrame, vectors_of, n_terms: int) -> tuple[np.ndarray, int]:
@@ -172,7 +222,7 @@ def document_frequencies(docs: DataFrame, vectors_of, n_terms: int) -> tuple[np.
             for text in b.column(0):
                 df[vectors(text.as_py())[0]] += 1
             n += b.num_rows
-        df[n_terms] = n
+        df[n_terms] = n  # a length term, if there is one, counts for nothing
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at])], names=["term", "n"])
 
@@ -205,18 +255,21 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Score
         counts.append(c)
     vocabulary = choose_terms(counts, y)
     df, n = document_frequencies(docs.select("text"), lambda: Vectors(vocabulary), len(vocabulary))
-    idf = np.log((1 + n) / (1 + df)) + 1
+    idf = np.append(np.log((1 + n) / (1 + df)) + 1, 1.0)
     return Scorer([r["doc_id"] for r in rows], [r["text"] for r in rows], y, totals, Vectors(vocabulary), idf)
 
 
-EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
+EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.float64())]))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 from 0.7 on) and evidence (the nearest examples) of every row.
+    """doc_id, held_out, score, predicted (1 from 0.7 on) and evidence of every row.
+
+    Evidence is the nearest examples with their similarity and mean label (an
+    example stands for all that have its vector).
 
-    Null, empty and wordless texts, and texts without any term of the
-    vocabulary, get the share of label 1 among such examples; without labels
+    Null, empty and wordless texts are scored as texts without any term of
+    the vocabulary, by the examples that have none either; without labels
     every score is 0. Equal texts have equal scores. Repeated rows are
     repeated; a null doc_id is not held out.
     """
@@ -232,7 +285,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p, pa.float64()), pa.array([int(x >= THRESHOLD) for x in p], pa.int32()), evidence], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return slim.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id: long, similarity: double, label: int>>")
+    return slim.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id: long, similarity: double, label: double>>")
 
 
 def keep_harmless(docs: DataFrame, labels: DataFrame) -> DataFrame:
