@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from somatlas.functions.distance import distance
+from somatlas.functions.kernels import VERTICAL_FACTOR
 
 
 def grid_edges(neurons: DataFrame) -> DataFrame:
@@ -127,16 +129,17 @@ def distribute_errors(errors: DataFrame, edges: DataFrame, threshold: float) ->
 
 def growth_candidates(errors: DataFrame, threshold: float) -> DataFrame:
     """growth_order, neuron_id, error: boundary neurons above the threshold, largest error first, ties to the lower id."""
-    from pyspark.sql.window import Window
-
     order = F.row_number().over(Window.orderBy(F.col("error").desc(), "neuron_id"))  # at most the map's size
     return errors.where((F.col("degree") < 4) & (F.col("error") > threshold)).select(order.alias("growth_order"), "neuron_id", "error")
 
 
+def vertical_candidates(totals: DataFrame, threshold: float, min_samples: int) -> DataFrame:
+    """neuron_id, error, hit_count of the neurons that get a child map: error above 1.5 thresholds, more samples than ``min_samples``."""
+    return totals.where((F.col("error") > VERTICAL_FACTOR * threshold) & (F.col("hit_count") > min_samples)).select("neuron_id", "error", "hit_count")
+
+
 def remove_dead(neurons: DataFrame, totals: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The map without neurons that have no sample, renumbered in order, and its edges."""
-    from pyspark.sql.window import Window
-
     live = neurons.join(totals.where("hit_count > 0").select("neuron_id"), "neuron_id", "left_semi")
     live = live.withColumn("new_id", F.row_number().over(Window.orderBy("neuron_id")) - 1)
     ids = live.select("neuron_id", "new_id")

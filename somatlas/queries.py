@@ -203,6 +203,21 @@ def hierarchical_predict(spark, d):
     return tidy(model.assign(samples(spark, d)).select("id", "map_id", "neuron_id", "distance"))
 
 
+def predict_proba(spark, d):
+    model = GrowingMapClassifier(nIter=15, spreadingFactor=0.9, seed=0).fit(samples(spark, d))
+    return tidy(model.predict_proba(samples(spark, d)).select("id", F.posexplode("probabilities").alias("class_index", "probability")).where("probability > 0"))
+
+
+def topographic_function_of_a_fit(spark, d):
+    return tidy(fit_clusterer(spark, d, nIter=15).topographic_function(samples(spark, d)))
+
+
+def prototype_colors(spark, d):
+    """The map's prototypes as colours by their principal components."""
+    model = fit_clusterer(spark, d, nIter=15)
+    return spark.createDataFrame(list(enumerate(evaluate.prototype_colors(model.weights))), "neuron_id long, color string")
+
+
 def model_round_trip(spark, d):
     model = fit_clusterer(spark, d, nIter=10)
     path = f"{Scratch(spark, 'model').path}/map"
@@ -267,6 +282,7 @@ _CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "bmu_manhattan": (lambda s, d: _near(s, d, 1, "manhattan").select("id", "neuron_id", "distance"), _metric("list_sum(list_transform(list_zip(s.f, c.w), lambda z: abs(z[1] - z[2])))")),
     "bmu_chebyshev": (lambda s, d: _near(s, d, 1, "chebyshev").select("id", "neuron_id", "distance"), _metric("list_max(list_transform(list_zip(s.f, c.w), lambda z: abs(z[1] - z[2])))")),
     "bmu_cosine": (lambda s, d: _near(s, d, 1, "cosine").select("id", "neuron_id", "distance"), _metric("list_cosine_distance(s.f, c.w)")),
+    "bmu_minkowski": (lambda s, d: assign(samples(s, d), codebook(s, d), 1, "minkowski", p=3.0).select("id", "neuron_id", "distance"), _metric("pow(list_sum(list_transform(list_zip(s.f, c.w), lambda z: pow(abs(z[1] - z[2]), 3))), 1.0 / 3)")),
     "bmu_top2": (lambda s, d: _near(s, d, 2).select("id", "neuron_id", "distance", "second_id", "second_distance"), _with("samples cb near top2", "SELECT id, n1 AS neuron_id, round(d1, 6) AS distance, n2 AS second_id, round(d2, 6) AS second_distance FROM top2")),
     "hit_count": (lambda s, d: _totals(s, d).select("neuron_id", "hit_count"), _with(f"{_NEAR} totals", "SELECT nid AS neuron_id, n AS hit_count FROM totals")),
     "quantization_error_per_neuron": (lambda s, d: _totals(s, d).select("neuron_id", "error"), _with(f"{_NEAR} totals", "SELECT nid AS neuron_id, round(e, 6) AS error FROM totals")),
@@ -316,6 +332,19 @@ _CATALOGUE: dict[str, tuple[Query, str | None]] = {
         _with(f"{_NEAR} totals edges deg low err", ", giver AS (SELECT nid, e / 2 AS half FROM err CROSS JOIN low WHERE degree = 4 AND e > gt), links AS (SELECT g.nid AS src, g.half, t.nid AS dst, count(*) OVER (PARTITION BY g.nid) AS n FROM giver g JOIN edges ON edges.src = g.nid JOIN err t ON t.nid = edges.dst AND t.degree < 4), gain AS (SELECT dst, sum(half / n) AS gain FROM links GROUP BY dst) SELECT err.nid AS neuron_id, round(coalesce(giver.half, err.e) + coalesce(gain.gain, 0), 6) AS error FROM err LEFT JOIN giver ON giver.nid = err.nid LEFT JOIN gain ON gain.dst = err.nid"),
     ),
     "growth_candidates": (lambda s, d: topology.growth_candidates(_errors(s, d), _low_threshold(s, d)), _with(f"{_NEAR} totals edges deg low err", "SELECT row_number() OVER (ORDER BY e DESC, nid) AS growth_order, nid AS neuron_id, round(e, 6) AS error FROM err CROSS JOIN low WHERE degree < 4 AND e > gt")),
+    "vertical_candidates": (
+        lambda s, d: topology.vertical_candidates(_totals(s, d), _low_threshold(s, d), 20),
+        _with(f"{_NEAR} totals low", "SELECT nid AS neuron_id, round(e, 6) AS error, n AS hit_count FROM totals CROSS JOIN low WHERE e > 1.5 * gt AND n > 20"),
+    ),
+    "class_report": (
+        lambda s, d: evaluate.class_report(_predicted(s, d)),
+        _with(f"{_NEAR} mode pred", ", c AS (SELECT DISTINCT label AS k FROM pred UNION SELECT DISTINCT pred FROM pred), t AS (SELECT k, count(*) FILTER (WHERE label = k AND pred = k) AS tp, count(*) FILTER (WHERE label = k) AS sup, count(*) FILTER (WHERE pred = k) AS pr FROM pred CROSS JOIN c GROUP BY k) SELECT k AS label, round(CASE WHEN pr > 0 THEN tp / pr ELSE 0 END, 6) AS precision, round(CASE WHEN sup > 0 THEN tp / sup ELSE 0 END, 6) AS recall, round(2 * tp / (pr + sup), 6) AS f1, sup AS support FROM t"),
+    ),
+    "neuron_degrees": (lambda s, d: topology.degrees(neurons(s, d).select("neuron_id"), edges(s, d)), _with("samples cb edges deg", "SELECT nid AS neuron_id, degree FROM deg")),
+    "impute_nearest": (
+        lambda s, d: prep.impute_nearest(table(s, d, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("a"), (F.col("event_id") % 97).cast("double").alias("b")), "event_id", ["a", "b"], s.range(20).select((F.col("id") * 7 + 0.5).alias("a"), (F.col("id") * 5).cast("double").alias("b")), 3).select("event_id", "a", "b", "a_missing"),
+        "WITH pool AS (SELECT r * 7 + 0.5 AS a, CAST(r * 5 AS DOUBLE) AS b FROM range(20) t(r)), e AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN value END AS a, CAST(event_id % 97 AS DOUBLE) AS b FROM events), near AS (SELECT e.event_id, p.a, row_number() OVER (PARTITION BY e.event_id ORDER BY abs(e.b - p.b), p.a) AS k FROM e CROSS JOIN pool p WHERE e.a IS NULL), m AS (SELECT event_id, avg(a) AS a FROM near WHERE k <= 3 GROUP BY event_id) SELECT e.event_id, round(coalesce(e.a, m.a), 6) AS a, e.b, CASE WHEN e.a IS NULL THEN 1.0 ELSE 0.0 END AS a_missing FROM e LEFT JOIN m USING (event_id)",
+    ),
     "dead_neuron_removal": (dead_neuron_removal, _with("samples cb", "SELECT nid AS neuron_id, x, y FROM cb")),
     "delaunay_edges": (lambda s, d: topology.delaunay_edges(_near(s, d, 2)), _with("samples cb near top2 del", "SELECT a AS src, b AS dst FROM del")),
     "delaunay_hops": (lambda s, d: topology.hops(topology.delaunay_edges(_near(s, d, 2)), SIDE * SIDE), _with("samples cb near top2 del dele delh", "SELECT i, j, CAST(h AS BIGINT) AS hops FROM delh")),
@@ -360,6 +389,9 @@ _CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "train_vq_distributed": (train_vq_distributed, None),
     "train_classifier": (train_classifier, None),
     "train_entropy": (train_entropy, None),
+    "predict_proba": (predict_proba, None),
+    "topographic_function_of_a_fit": (topographic_function_of_a_fit, None),
+    "prototype_colors": (prototype_colors, None),
     "project_nnls": (project_nnls, None),
     "vertical_growth": (vertical_growth, None),
     "hierarchical_predict": (hierarchical_predict, None),
