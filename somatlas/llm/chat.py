@@ -64,21 +64,22 @@ def reply_paths(nodes: DataFrame, scratch: Scratch, top: int = 1) -> DataFrame:
     up = base.join(known, "parent_id", "left").select("tree_id", "node_id", F.col("__found").alias("up"), "score", F.lit(1).cast("long").alias("depth"))
     up = scratch.save(up, "up0")
     leaves = up.join(up.select(F.col("up").alias("node_id")).where("node_id is not null").distinct(), "node_id", "left_anti").select("node_id")
+    # Only nodes whose way up has no root yet take part in a round; the others are looked up.
     jumps, total = [], up.count()
-    while up.where("up is not null").limit(1).count() and 1 << len(jumps) <= total:
-        jumps.append(up.select("node_id", "up"))
-        far = up.select(F.col("node_id").alias("up"), F.col("up").alias("__up"), F.col("score").alias("__score"), F.col("depth").alias("__depth"))
-        up = up.join(far, "up", "left").select(
-            "tree_id", "node_id", F.col("__up").alias("up"), (F.col("score") + F.coalesce("__score", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth")
-        )
-        up = scratch.save(up, f"up{len(jumps)}")
+    ended, going = up.where("up is null"), up.where("up is not null")
+    while going.limit(1).count() and 1 << len(jumps) <= total:
+        jumps.append(going.select("node_id", "up"))
+        far = ended.unionByName(going).select(F.col("node_id").alias("up"), F.col("up").alias("__up"), F.col("score").alias("__score"), F.col("depth").alias("__depth"))
+        longer = going.join(far, "up").select("tree_id", "node_id", F.col("__up").alias("up"), (F.col("score") + F.col("__score")).alias("score"), (F.col("depth") + F.col("__depth")).alias("depth"))
+        longer = scratch.save(longer, f"up{len(jumps)}")
+        ended, going = ended.unionByName(longer.where("up is null")), longer.where("up is not null")
     order = Window.partitionBy("tree_id").orderBy(F.col("score").desc(), F.col("depth").desc(), "node_id")
-    chosen = up.where("up is null").join(leaves, "node_id", "left_semi").withColumn("branch_rank", F.row_number().over(order)).where(F.col("branch_rank") <= top)
+    chosen = ended.join(leaves, "node_id", "left_semi").withColumn("branch_rank", F.row_number().over(order)).where(F.col("branch_rank") <= top)
     chosen = scratch.save(chosen.select("tree_id", F.col("node_id").alias("leaf_id"), "branch_rank", F.col("score").alias("branch_score"), "depth"), "chosen")
     path = chosen.select("leaf_id", F.col("leaf_id").alias("node_id"), F.lit(0).cast("long").alias("dist"))
     for k, jump in enumerate(jumps):
-        path = path.unionByName(path.join(jump, "node_id").where("up is not null").select("leaf_id", F.col("up").alias("node_id"), (F.col("dist") + (1 << k)).alias("dist")))
-        path = scratch.save(path, f"path{k}")
+        further = path.join(jump, "node_id").select("leaf_id", F.col("up").alias("node_id"), (F.col("dist") + (1 << k)).alias("dist"))
+        path = path.unionByName(scratch.save(further, f"path{k}"))
     return path.join(chosen, "leaf_id").select("tree_id", "leaf_id", "branch_rank", "branch_score", "depth", (F.col("depth") - 1 - F.col("dist")).alias("position"), "node_id")
 
 
