@@ -343,7 +343,7 @@ _CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "neuron_degrees": (lambda s, d: topology.degrees(neurons(s, d).select("neuron_id"), edges(s, d)), _with("samples cb edges deg", "SELECT nid AS neuron_id, degree FROM deg")),
     "impute_nearest": (
         lambda s, d: prep.impute_nearest(table(s, d, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("a"), (F.col("event_id") % 97).cast("double").alias("b")), "event_id", ["a", "b"], s.range(20).select((F.col("id") * 7 + 0.5).alias("a"), (F.col("id") * 5).cast("double").alias("b")), 3).select("event_id", "a", "b", "a_missing"),
-        "WITH pool AS (SELECT r * 7 + 0.5 AS a, CAST(r * 5 AS DOUBLE) AS b FROM range(20) t(r)), e AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN value END AS a, CAST(event_id % 97 AS DOUBLE) AS b FROM events), near AS (SELECT e.event_id, p.a, row_number() OVER (PARTITION BY e.event_id ORDER BY abs(e.b - p.b), p.a) AS k FROM e CROSS JOIN pool p WHERE e.a IS NULL), m AS (SELECT event_id, avg(a) AS a FROM near WHERE k <= 3 GROUP BY event_id) SELECT e.event_id, round(coalesce(e.a, m.a), 6) AS a, e.b, CASE WHEN e.a IS NULL THEN 1.0 ELSE 0.0 END AS a_missing FROM e LEFT JOIN m USING (event_id)",
+        "WITH pool AS (SELECT r * 7 + 0.5 AS a, CAST(r * 5 AS DOUBLE) AS b FROM range(20) t(r)), e AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN value END AS a, CAST(event_id % 97 AS DOUBLE) AS b FROM events), near AS (SELECT e.event_id, p.a, row_number() OVER (PARTITION BY e.event_id ORDER BY abs(e.b - p.b), p.a) AS k FROM e CROSS JOIN pool p WHERE e.a IS NULL), m AS (SELECT event_id, avg(a) AS a FROM near WHERE k <= 3 GROUP BY event_id) SELECT e.event_id, round(coalesce(e.a, m.a), 6) AS a, e.b, CAST(e.a IS NULL AS DOUBLE) AS a_missing FROM e LEFT JOIN m USING (event_id)",
     ),
     "dead_neuron_removal": (dead_neuron_removal, _with("samples cb", "SELECT nid AS neuron_id, x, y FROM cb")),
     "delaunay_edges": (lambda s, d: topology.delaunay_edges(_near(s, d, 2)), _with("samples cb near top2 del", "SELECT a AS src, b AS dst FROM del")),

@@ -35,7 +35,7 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each context."""
+    """Send this package to the executors' Python workers, once for each context. The driver serves the archive, so no folder is shared."""
     sc = spark.sparkContext
     if getattr(sc, "_somatlas_shipped", False):
         return
