@@ -19,37 +19,101 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from somatlas.llm.learning import MAX_TEXT, Memo, bounded_sample, grams, held_out, words_of
+from somatlas.llm.learning import MAX_TEXT, bounded_sample, held_out, words_of
 from somatlas.llm.toxicity import document_frequencies
 
 EXAMPLES = 1200  # of each language at most
 MAX_LANGUAGES = 64
 TERMS = 8192
+MAX_LETTERS = 120
 SIZES = range(1, 4)
-ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.002, 0.002, 3
+BORDER = "_"
+CHUNK = 1 << 20  # characters that are looked at together
+ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.002, 3
 UNDETERMINED = "und"
 MIN_SCORE = 0.4
 
 
 class Vectors:
-    """Texts to (term numbers, counts)."""
+    """Texts to (term numbers, counts). Terms are n-grams of letters, lower case, with "_" for what stands before and after a word.
+
+    Letters become small numbers and n-grams numbers of base ``base``, so a
+    text's n-grams are found by a few array operations over all of it.
+    """
 
     def __init__(self, vocabulary: list[str]):
         self.vocabulary, self.n = vocabulary, len(vocabulary)
-        number = {t: i for i, t in enumerate(vocabulary)}
-        self.memo = Memo(lambda w: np.array([number[g] for g in grams(w, SIZES) if g in number], np.uint16).tobytes())
+        letters = sorted({c for t in vocabulary for c in t if c != BORDER})
+        self.base = len(letters) + 2  # 0 a border, 1 a letter that no term has
+        self.letter = letter_table()
+        for i, c in enumerate(letters):
+            if ord(c) < len(self.letter):
+                self.letter[ord(c)] = i + 2
+        place = {c: i + 2 for i, c in enumerate(letters)} | {BORDER: 0}
+        self.term = [np.full(self.base**k, -1, np.int16) for k in SIZES]
+        for i, t in enumerate(vocabulary):
+            code = 0
+            for c in t:
+                code = code * self.base + place[c]
+            self.term[len(t) - 1][code] = i
 
     def __reduce__(self):
         return Vectors, (self.vocabulary,)
 
-    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.frombuffer(b"".join(map(self.memo.__getitem__, words)), np.uint16)
-        tf = np.bincount(ids, minlength=self.n)
-        at = np.flatnonzero(tf)
-        return at, tf[at]
+    def letters(self, text: str) -> np.ndarray:
+        """Letter numbers, borders around."""
+        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        out = np.zeros(len(points) + 2, np.int32)
+        if len(points) and points.max() >= len(self.letter):
+            high = points >= len(self.letter)
+            out[1:-1][high] = [chr(p).isalpha() for p in points[high]]
+            points = np.where(high, 32, points)
+            out[1:-1] += self.letter[points]
+        else:
+            out[1:-1] = self.letter[points]
+        return out
+
+    def counts(self, text: str) -> tuple[bool, np.ndarray, np.ndarray]:
+        """Whether there is a letter, term numbers and counts."""
+        total, any_letter = np.zeros(self.n, np.int64), False
+        for at in range(0, max(1, len(text)), CHUNK):
+            # a chunk brings the two characters before it along, for the n-grams over its edge
+            x = self.letters(text[max(0, at - 2) : at + CHUNK])
+            new = min(2, at)
+            x = x[(1 if at else 0) : (len(x) - 1 if at + CHUNK < len(text) else len(x))]
+            any_letter |= bool(x.any())
+            found = []
+            for k, term in zip(SIZES, self.term):
+                code = x[: len(x) - k + 1]
+                for j in range(1, k):
+                    code = code * self.base + x[j : len(x) - k + 1 + j]
+                found.append(term[code[max(0, new - k + 1) :]])
+            ids = np.concatenate(found)
+            total += np.bincount(ids[ids >= 0], minlength=self.n)
+        at = np.flatnonzero(total)
+        return any_letter, at, total[at]
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        return self.of_words(words_of(text))
+        return self.counts(text or "")[1:]
+
+
+_letters: list[np.ndarray] = []
+
+
+def letter_table() -> np.ndarray:
+    """1 for the letters of the basic plane, 0 for all else."""
+    if not _letters:
+        _letters.append(np.array([chr(i).isalpha() for i in range(1 << 16)], np.int32))
+    return _letters[0].copy()
+
+
+def terms_in(text: str) -> set[str]:
+    """The terms of a text: n-grams of letters with at least one letter, borders only at their ends."""
+    return {g for w in set(words_of(text)) if w.isalpha() for k in SIZES for g in windows(f"{BORDER}{w}{BORDER}", k) if g != BORDER}
+
+
+def windows(w: str, k: int) -> list[str]:
+    return [w[i : i + k] for i in range(len(w) - k + 1)]
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -109,10 +173,10 @@ class Model:
         return np.append(at, len(self.idf)), np.append(x / norm, 0.1)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not any(c.isalpha() for w in words for c in w):
+        letters, at, tf = self.vectors.counts(text or "")
+        if not letters:
             return UNDETERMINED, 0.0
-        at, x = self.row(*self.vectors.of_words(words))
+        at, x = self.row(at, tf)
         p = softmax(x @ self.weights[at] / self.t)
         k = int(p.argmax())
         return self.languages[k], float(p[k])
@@ -129,12 +193,19 @@ def train(docs: DataFrame, examples: int = EXAMPLES) -> Model | None:
         return None
     df: Counter = Counter()
     for r in rows:
-        df.update({g for w in set(words_of(r["text"])) for g in grams(w, SIZES)})
-    vocabulary = [t for t, _ in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:TERMS]]
+        df.update(terms_in(r["text"]))
+    vocabulary = choose_terms(df)
     found, n = document_frequencies(docs.select("text"), lambda: Vectors(vocabulary), len(vocabulary))
     return Model(Vectors(vocabulary), np.log((1 + n) / (1 + found)) + 1, [r["text"] for r in rows], [r["lang"] for r in rows])
 
 
+def choose_terms(df: Counter) -> list[str]:
+    """The most frequent terms over the most frequent letters."""
+    ranked = sorted(df.items(), key=lambda x: (-x[1], x[0]))
+    letters = {t for t, _ in [x for x in ranked if len(x[0]) == 1][:MAX_LETTERS]} | {BORDER}
+    return [t for t, _ in ranked if letters.issuperset(t)][:TERMS]
+
+
 def hash_order(key: int) -> int:
     """A fixed shuffle of the examples, so that no order of the documents is learned."""
     return (key * 0x9E3779B97F4A7C15 + 0x7F4A7C15) % (1 << 64)
