@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +39,14 @@ def terms_of(word: str) -> list[str]:
     return [f"={word}", *grams(word, SIZES)]
 
 
-def choose_terms(counts: list[Counter], labels: np.ndarray, limit: int = TERMS, least: float = MIN_CHI2) -> list[str]:
+def choose_terms(texts: Iterable[str], labels: np.ndarray, limit: int = TERMS, least: float = MIN_CHI2) -> list[str]:
     """The terms of largest chi square between presence and label; ties in the order of the terms."""
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
     if not n1 or not n0:
         return []
     in1, in0 = Counter(), Counter()
-    for c, y in zip(counts, labels):
-        (in1 if y else in0).update(c.keys())
+    for text, y in zip(texts, labels):
+        (in1 if y else in0).update({t for w in set(words_of(text)) for t in terms_of(w)})
     n, scored = n1 + n0, []
     for t in {*in1, *in0}:
         a, b = in1[t], in0[t]
@@ -247,13 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Score
     if not rows:
         return None
     y = np.array([r["toxic"] for r in rows], np.int64)
-    counts = []
-    for r in rows:
-        c: Counter = Counter()
-        for w in set(words_of(r["text"])):
-            c.update(terms_of(w))
-        counts.append(c)
-    vocabulary = choose_terms(counts, y)
+    vocabulary = choose_terms((r["text"] for r in rows), y)
     df, n = document_frequencies(docs.select("text"), lambda: Vectors(vocabulary), len(vocabulary))
     idf = np.append(np.log((1 + n) / (1 + df)) + 1, 1.0)
     return Scorer([r["doc_id"] for r in rows], [r["text"] for r in rows], y, totals, Vectors(vocabulary), idf)
