@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from somatlas.llm.learning import MAX_TEXT, bounded_sample, held_out, words_of
+from somatlas.llm.learning import bounded_sample, held_out, sampled_texts, words_of
 from somatlas.llm.toxicity import document_frequencies
 
 EXAMPLES = 1200  # of each language at most
@@ -184,11 +184,9 @@ class Model:
 
 def train(docs: DataFrame, examples: int = EXAMPLES) -> Model | None:
     """Learn from text and non-null lang of the documents that are not held out; None if there are none."""
-    known = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") <= MAX_TEXT) & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    picked = bounded_sample(known.select("doc_id", "lang"), "lang", "doc_id", examples, MAX_LANGUAGES)
-    texts = known.join(F.broadcast(picked.distinct()), ["doc_id", "lang"])  # at most examples x MAX_LANGUAGES keys
-    rows = bounded_sample(texts, "lang", "doc_id", examples, MAX_LANGUAGES).collect()
-    rows.sort(key=lambda r: (hash_order(r["doc_id"]), r["text"], r["lang"]))
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
+    rows = sampled_texts(docs, bounded_sample(known, "lang", "doc_id", examples, MAX_LANGUAGES), "lang").collect()  # at most examples x MAX_LANGUAGES
+    rows.sort(key=lambda r: (hash_order(r["doc_id"]), r["lang"]))
     if not rows:
         return None
     df: Counter = Counter()

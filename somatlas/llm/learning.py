@@ -20,14 +20,30 @@ def held_out(key: Column) -> Column:
 
 
 def bounded_sample(rows: DataFrame, label: str, key: str, cap: int, max_labels: int = 64) -> DataFrame:
-    """At most ``cap`` rows of each of the ``max_labels`` most frequent labels, chosen by a hash of the key.
+    """At most ``cap`` keys of each of the ``max_labels`` most frequent labels: the first by a hash of the key.
 
-    The ranks are limited in each task before rows move, so a label with most
-    of the rows costs no more than another.
+    ``rows`` is columns of keys and labels alone. A label's count tells which
+    share of the hash's range holds about four times ``cap`` rows; only those
+    are made distinct and ranked, so a label with most of the rows costs no
+    more than another. Where most rows are repeated the sample is smaller.
     """
-    labels = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).select(label)
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit("sample")), F.col(key))
-    return rows.join(F.broadcast(labels), label).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= cap).drop("__n")
+    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
+    at = F.xxhash64(F.col(key), F.lit("sample"))
+    place = (F.shiftrightunsigned(at, 11)).cast("double") / float(1 << 53)
+    share = F.lit(-1.0)
+    for r in counts:
+        share = F.when(F.col(label) == r[0], min(1.0, 4.0 * max(cap, 50) / r["count"])).otherwise(share)
+    order = Window.partitionBy(label).orderBy(at, F.col(key))
+    return rows.where(place <= share).distinct().withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= cap).drop("__n")
+
+
+def sampled_texts(docs: DataFrame, picked: DataFrame, label: str) -> DataFrame:
+    """doc_id, label and text of the picked keys that have a text short enough; of several texts of one key, the smallest.
+
+    ``picked`` is a bounded sample, which is what is broadcast.
+    """
+    texts = docs.where(F.octet_length("text") <= MAX_TEXT).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return texts.groupBy("doc_id", label).agg(F.min("text").alias("text"))
 
 
 def words_of(text: str | None) -> list[str]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from somatlas.llm.learning import MAX_TEXT, Memo, bounded_sample, grams, held_out, words_of
+from somatlas.llm.learning import Memo, bounded_sample, grams, held_out, sampled_texts, words_of
 
 EXAMPLES = 1500  # of each label at most
 TERMS = 1024
@@ -240,10 +240,8 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Score
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    picked = bounded_sample(known, "toxic", "doc_id", examples)
-    texts = docs.where(F.octet_length("text") <= MAX_TEXT).select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 x examples rows
-    rows = bounded_sample(texts, "toxic", "doc_id", examples).collect()  # a doc_id may occur more than once
-    rows.sort(key=lambda r: (r["doc_id"], r["text"], r["toxic"]))
+    rows = sampled_texts(docs, bounded_sample(known, "toxic", "doc_id", examples), "toxic").collect()  # at most 2 x examples
+    rows.sort(key=lambda r: (r["doc_id"], r["toxic"]))
     if not rows:
         return None
     y = np.array([r["toxic"] for r in rows], np.int64)
