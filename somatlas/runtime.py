@@ -62,10 +62,10 @@ class Scratch:
         self._n = 0
         atexit.register(self._remove, self.path)
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", **options: str) -> DataFrame:
         self._n += 1
         path = f"{self.path}/{self._n:03d}-{name}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._somatlas_path = path
         return out
