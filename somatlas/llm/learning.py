@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +10,6 @@ from pyspark.sql.window import Window
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MAX_TEXT = 1 << 16  # examples of more bytes are not learned from, which bounds the sample's size
-MAX_CACHE = 400_000
 
 
 def held_out(key: Column) -> Column:
@@ -50,19 +48,6 @@ def words_of(text: str | None) -> list[str]:
     return LETTERS.findall(text.lower()) if text else []
 
 
-class Memo(dict):
-    """make(word), kept for as long as there are not too many words."""
-
-    def __init__(self, make: Callable):
-        self.make = make
-
-    def __missing__(self, word: str):
-        if len(self) > MAX_CACHE:
-            self.clear()
-        out = self[word] = self.make(word)
-        return out
-
-
 def grams(word: str, sizes: range) -> list[str]:
     """Character n-grams of the word between border marks."""
     w = f"<{word}>"

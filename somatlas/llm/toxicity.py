@@ -17,18 +17,20 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from somatlas.llm.learning import Memo, bounded_sample, grams, held_out, sampled_texts, words_of
+from somatlas.llm.learning import bounded_sample, grams, held_out, sampled_texts, words_of
 
 EXAMPLES = 1500  # of each label at most
 TERMS = 1024
 MIN_CHI2 = 30.0
 NEIGHBOURS = 15
 BLOCK = 64
+FIRST_BLOCKS = 4
 THRESHOLD = 0.7
 LENGTH_WEIGHT, LENGTH_BASE = 0.1, 50  # the length term's frequency: this share of the words, and of so many more
 NEAR = 0.02  # distance at which a vote counts half as much as at none
@@ -36,7 +38,8 @@ SIZES = range(4, 6)
 
 
 def terms_of(word: str) -> list[str]:
-    return [f"={word}", *grams(word, SIZES)]
+    """The word and its n-grams, between border marks."""
+    return list({f"<{word}>", *grams(word, SIZES)})
 
 
 def choose_terms(texts: Iterable[str], labels: np.ndarray, limit: int = TERMS, least: float = MIN_CHI2) -> list[str]:
@@ -61,18 +64,18 @@ class Vectors:
     """Texts to (term numbers, term frequencies) over a vocabulary; the length term comes after it."""
 
     def __init__(self, vocabulary: list[str]):
-        self.vocabulary = vocabulary
-        number = {t: i for i, t in enumerate(vocabulary)}
-        self.memo = Memo(lambda w: tuple(number[t] for t in terms_of(w) if t in number))
+        self.vocabulary, self.automaton = vocabulary, ahocorasick.Automaton()
+        for i, t in enumerate(vocabulary):
+            self.automaton.add_word(t, i)
+        if vocabulary:
+            self.automaton.make_automaton()
 
     def __reduce__(self):
         return Vectors, (self.vocabulary,)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         words = words_of(text)
-        found: Counter = Counter()
-        for t in filter(None, map(self.memo.__getitem__, words)):
-            found.update(t)
+        found = Counter(i for _, i in self.automaton.iter(f"<{'><'.join(words)}>")) if self.vocabulary else {}
         at = sorted(found)
         return np.array([*at, len(self.vocabulary)]), np.array([*(float(found[t]) for t in at), LENGTH_WEIGHT * (len(words) + LENGTH_BASE)])
 
@@ -100,24 +103,23 @@ class NearestExamples:
     def nearest(self, at: np.ndarray, tf: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(example numbers, similarities) of the k nearest with a similarity above 0, example ``but`` left out; ties to the lower number."""
         at, w = self.unit(at, tf)
-        if not len(at):
-            return np.empty(0, np.int64), np.empty(0)
         bound = w @ self.largest[at]
+        blocks = np.argsort(-bound, kind="stable")
+        blocks = blocks[bound[blocks] > 0]
         ids, sims, kth = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(ids) >= k and bound[b] < kth - 1e-12:
+        # The most promising blocks give a k-th similarity; all blocks that can still reach it are then opened together.
+        for opened in (blocks[:FIRST_BLOCKS], blocks[FIRST_BLOCKS:]):
+            opened = opened[bound[opened] >= kth - 2e-9]
+            if not len(opened):
                 break
-            s = w @ self.impacts[b, at]
-            near = np.flatnonzero((s > 0) & (s >= kth - 1e-12))
-            i = self.order[b * BLOCK + near]
-            ids, sims = np.concatenate([ids, i[i != but]]), np.concatenate([sims, s[near][i != but]])
-            if len(ids) > k:
-                best = np.lexsort((ids, -np.round(sims, 9)))[:k]
-                ids, sims = ids[best], sims[best]
-            if len(ids) >= k:
-                kth = float(sims.min())
-        best = np.lexsort((ids, -np.round(sims, 9)))
-        return ids[best], sims[best]
+            s = np.matmul(w, self.impacts[opened[:, None], at[None, :]])
+            row, near = np.nonzero((s > 0) & (s >= kth - 2e-9))
+            i = self.order[opened[row] * BLOCK + near]
+            ids, sims = np.concatenate([ids, i[i != but]]), np.concatenate([sims, s[row, near][i != but]])
+            best = np.lexsort((ids, -np.round(sims, 9)))[:k]
+            ids, sims = ids[best], sims[best]
+            kth = float(sims[-1]) if len(ids) == k else 0.0
+        return ids, sims
 
 
 class Scorer:
