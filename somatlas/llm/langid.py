@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from somatlas.llm.learning import bounded_sample, held_out, sampled_texts, words_of
-from somatlas.llm.toxicity import document_frequencies
+from somatlas.llm.learning import bounded_sample, document_frequencies, held_out, sampled_texts, words_of
 
 EXAMPLES = 1200  # of each language at most
 MAX_LANGUAGES = 64

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,3 +55,26 @@ def grams(word: str, sizes: range) -> list[str]:
     """Character n-grams of the word between border marks."""
     w = f"<{word}>"
     return [w[i : i + n] for n in sizes for i in range(len(w) - n + 1)]
+
+
+def document_frequencies(docs: DataFrame, vectors_of: Callable, n_terms: int) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term of a bounded vocabulary occurs, and the number of documents.
+
+    ``docs`` is a column of texts; ``vectors_of``() makes, in each task, what
+    turns a text into (term numbers, frequencies).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, df, n = vectors_of(), np.zeros(n_terms + 1, np.int64), 0
+        for b in batches:
+            for text in b.column(0):
+                df[vectors(text.as_py())[0]] += 1
+            n += b.num_rows
+        df[n_terms] = n  # a length term, if there is one, counts for nothing
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at])], names=["term", "n"])
+
+    out = np.zeros(n_terms + 1, np.int64)
+    for r in docs.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        out[r["term"]] = r["n"]
+    return out[:n_terms], int(out[n_terms])

@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from somatlas.llm.learning import bounded_sample, grams, held_out, sampled_texts, words_of
+from somatlas.llm.learning import bounded_sample, document_frequencies, grams, held_out, sampled_texts, words_of
 
 EXAMPLES = 1500  # of each label at most
 TERMS = 1024
-MIN_CHI2 = 30.0
+MIN_CHI2 = 24.0
 NEIGHBOURS = 15
 BLOCK = 64
 FIRST_BLOCKS = 4
@@ -53,7 +53,7 @@ def choose_terms(texts: Iterable[str], labels: np.ndarray, limit: int = TERMS, l
     n, scored = n1 + n0, []
     for t in {*in1, *in0}:
         a, b = in1[t], in0[t]
-        if a + b >= 5 and a + b < n:
+        if a + b >= 3 and a + b < n:
             chi2 = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / (n1 * n0 * (a + b) * (n - a - b))
             if chi2 >= least:
                 scored.append((-chi2, t))
@@ -190,48 +190,37 @@ def calibrate(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tupl
     """(a, b) of the logistic curve 1 / (1 + exp(-(a v + b))), fitted by Newton steps that are halved until the weighted loss falls.
 
     The labels are drawn in a little (Platt, 1999), so separable votes have a
-    finite curve too; a is at least 1, so a larger vote is never a lower score.
+    finite curve too. a is at least 1, so a larger vote is never a lower score;
+    where it would be less, b alone is fitted.
     """
     if not len(votes):
         return 1.0, 0.0
     n1, n0 = labels.sum(), (1 - labels).sum()
     target = np.where(labels > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x, w, beta = np.stack([votes, np.ones(len(votes))], 1), weight / weight.sum(), np.zeros(2)
-
-    def loss(b: np.ndarray) -> float:
-        z = x @ b
-        return float(w @ (np.logaddexp(0, z) - target * z))
-
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
-        grad = x.T @ (w * (p - target))
-        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2), grad)
-        size = 1.0
-        while size > 1e-6 and loss(beta - size * step) > loss(beta):
-            size /= 2
-        beta = beta - size * step
-        if size * np.abs(step).max() < 1e-9 or size <= 1e-6:
-            break
-    return max(1.0, float(beta[0])), float(beta[1])
-
-
-def document_frequencies(docs: DataFrame, vectors_of, n_terms: int) -> tuple[np.ndarray, int]:
-    """In how many of all documents each term of a bounded vocabulary occurs, and the number of documents."""
+    w = weight / weight.sum()
+
+    def fit(x: np.ndarray, fixed: np.ndarray) -> np.ndarray:
+        beta = np.zeros(x.shape[1])
+
+        def loss(b: np.ndarray) -> float:
+            z = x @ b + fixed
+            return float(w @ (np.logaddexp(0, z) - target * z))
+
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(x @ beta + fixed, -500, 500)))
+            grad = x.T @ (w * (p - target))
+            step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(len(beta)), grad)
+            size = 1.0
+            while size > 1e-6 and loss(beta - size * step) > loss(beta):
+                size /= 2
+            beta = beta - size * step
+            if size * np.abs(step).max() < 1e-9 or size <= 1e-6:
+                break
+        return beta
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, df, n = vectors_of(), np.zeros(n_terms + 1, np.int64), 0
-        for b in batches:
-            for text in b.column(0):
-                df[vectors(text.as_py())[0]] += 1
-            n += b.num_rows
-        df[n_terms] = n  # a length term, if there is one, counts for nothing
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at])], names=["term", "n"])
-
-    out = np.zeros(n_terms + 1, np.int64)
-    for r in docs.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[r["term"]] = r["n"]
-    return out[:n_terms], int(out[n_terms])
+    one = np.ones((len(votes), 1))
+    a, b = fit(np.hstack([votes[:, None], one]), np.zeros(len(votes)))
+    return (float(a), float(b)) if a >= 1 else (1.0, float(fit(one, votes)[0]))
 
 
 def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Scorer | None:
