@@ -124,16 +124,17 @@ def read_back(chats: DataFrame) -> DataFrame:
     return out.withColumns({"turns": F.transform(bodies, turn), "loss_text": F.array_join(loss, "")}).drop("__lines")
 
 
-def chain_nodes(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Conversations as trees: each turn replies to the turn before it.
+def chain_nodes(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Conversations as trees, each turn a reply to the turn before it: nodes for ``reply_paths`` and turns for ``format_paths``.
 
     ``rows`` has conv_id, turn, role, text. Rows of a conversation are ordered
     by turn, then role and text (nulls first); node_id is the row's place in
     the whole table, and the row before it is its parent if it has the same
     conv_id. Null conv_id is one conversation. Repeated rows are repeated turns.
     """
-    ranked = ordered_rank(scratch, rows, [F.col(c) for c in ("conv_id", "turn", "role", "text")], "turns", rank="node_id")
-    ranked = ranked.select(F.col("conv_id").alias("tree_id"), "node_id", "role", "text")
-    before = ranked.select((F.col("node_id") + 1).alias("node_id"), F.col("tree_id").alias("__tree"))
+    ranked = ordered_rank(scratch, rows.select("conv_id", "turn", "role", "text"), [F.col(c) for c in ("conv_id", "turn", "role", "text")], "turns", rank="node_id")
+    places = scratch.save(ranked.select(F.col("conv_id").alias("tree_id"), "node_id"), "places")
+    before = places.select((F.col("node_id") + 1).alias("node_id"), F.col("tree_id").alias("__tree"))
     same = F.col("tree_id").eqNullSafe(F.col("__tree"))
-    return ranked.join(before, "node_id", "left").withColumn("parent_id", F.when(same, F.col("node_id") - 1)).drop("__tree").withColumn("score", F.lit(0.0))
+    nodes = places.join(before, "node_id", "left").select("tree_id", "node_id", F.when(same, F.col("node_id") - 1).alias("parent_id"), F.lit(0.0).alias("score"))
+    return scratch.save(nodes, "nodes"), ranked.select("node_id", "role", "text")

@@ -26,8 +26,8 @@ def op2_chat_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op2")
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(SAYING).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    nodes = scratch.save(chat.chain_nodes(rows, scratch), "nodes")
-    chats = chat.format_paths(chat.reply_paths(nodes, scratch), nodes.select("node_id", "role", "text"))
+    nodes, turns = chat.chain_nodes(rows, scratch)
+    chats = chat.format_paths(chat.reply_paths(nodes, scratch), turns)
     return chat.read_back(chats).select(
         F.col("tree_id").alias("conv_id"),
         F.size("turns").cast("long").alias("n_turns"),
