@@ -138,7 +138,7 @@ def plan_pieces(lengths: DataFrame, scratch: Scratch, length: int = LENGTH) -> D
 
     # The room in the patterns' sequences and the documents left over are intervals on one line.
     room = dealt.where("sequence_id is not null").groupBy("sequence_id").agg(F.sum("r").alias("used")).where(F.col("used") < length)
-    room = running_total(scratch, room.withColumn("w", length - F.col("used")), [F.col("sequence_id")], "w", "room").select("sequence_id", "used", F.col("before").alias("s0"), (F.col("before") + F.col("w")).alias("s1"))
+    room = running_total(scratch, scratch.save(room, "used").withColumn("w", length - F.col("used")), [F.col("sequence_id")], "w", "room").select("sequence_id", "used", F.col("before").alias("s0"), (F.col("before") + F.col("w")).alias("s1"))
     total_room = room.agg(F.max("s1")).first()[0] or 0
     fill = running_total(scratch, dealt.where("sequence_id is null").select("uid", "r", "full", "__rank", F.col("r").cast("long").alias("w")), [F.col("__rank")], "w", "fill")
     fill = fill.select("uid", "full", F.col("before").alias("f0"), (F.col("before") + F.col("w")).alias("f1"))
@@ -153,7 +153,7 @@ def plan_pieces(lengths: DataFrame, scratch: Scratch, length: int = LENGTH) -> D
 
 def running_total(scratch: Scratch, df: DataFrame, order: list, weight: str, name: str) -> DataFrame:
     """Add ``before``: the sum of ``weight`` over all rows before this one in the order given. The sums are taken in blocks of ranks."""
-    ranked = ordered_rank(scratch, scratch.save(df, f"{name}_in"), order, name, rank="__r").withColumn("__block", F.expr("__r div 65536"))
+    ranked = ordered_rank(scratch, df, order, name, rank="__r").withColumn("__block", F.expr("__r div 8192"))
     sums = ranked.groupBy("__block").agg(F.sum(weight).alias("__sum"))
     line = Window.partitionBy(F.lit(0)).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
     sums = sums.select("__block", F.coalesce(F.sum("__sum").over(line), F.lit(0)).alias("__base"))
