@@ -315,4 +315,5 @@ def keep_representatives(docs: DataFrame, scratch: Scratch) -> DataFrame:
     comps = scratch.save(components(links_between(distinct.select("fp"), scratch), scratch), "components")
     firsts = distinct.join(comps, distinct["fp"] == comps["node"], "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
     kept = scratch.save(firsts.select(F.col("first.f").alias("__file"), F.col("first.r").alias("__row")), "kept")
-    return keyed.join(kept, ["__file", "__row"], "left_semi").select(*docs.columns)
+    # Hashed at every size: what is kept grows with the documents, so it is never broadcast, and texts need no sorting.
+    return keyed.join(kept.hint("shuffle_hash"), ["__file", "__row"], "left_semi").select(*docs.columns)
