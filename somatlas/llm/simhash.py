@@ -244,9 +244,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of every node that has a link, root being the smallest of its component.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014) until
-    the set of links stays the same. All sets stay tables; a node with very
-    many links is pre-aggregated for its minimum, and the join that follows
-    can be split.
+    the set of links stays the same. All sets stay tables. A node with very
+    many links is pre-aggregated for its minimum; the minima are a table of
+    their own, so that the join that follows can be split at such a node.
     """
     edges, seen = links.where("a <> b"), None
 
@@ -256,6 +256,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         else:
             e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = e.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        low = scratch.save(low, "minima")
         joined = e.join(low, "a")
         if large:
             new = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -288,6 +289,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = linked.join(lows, "root").select(F.col("node").alias("fp"), "component_id")
     ids = distinct.join(ids, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    ids = scratch.save(ids, "ids")  # read from a table, so that the join below can be split at a fingerprint with many copies
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
