@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from somatlas.llm import decontam, langid, packing, simhash, toxicity
+from somatlas.llm import decontam, langid, nearsets, packing, toxicity
 from somatlas.llm.queries import tokenizer_path
 from somatlas.runtime import Scratch, ship_package, table
 
@@ -22,9 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, the one with the smallest doc_id."""
+    """One document of each component stays, the one with the smallest doc_id; links are pairs at 0.8 or more by five-word shingles."""
     ship_package(spark)
-    return simhash.keep_representatives(docs, Scratch(spark, "dedup"))
+    return nearsets.keep_representatives(docs, Scratch(spark, "dedup"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
