@@ -232,9 +232,16 @@ def stream_scoring(spark, d):
     stream = spark.readStream.schema(table(spark, d, "events").schema).option("maxFilesPerTrigger", 8).option("pathGlobFilter", "events.parquet").parquet(d)
     stream = stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.array("value", F.hour("ts").cast("double")).alias("features"))
     hits = hits_by_window(score_stream(stream, protos), "ts", "1 day", "1 hour")
-    query = hits.writeStream.outputMode("append").format("parquet").option("path", f"{out.path}/hits").option("checkpointLocation", f"{out.path}/state").trigger(availableNow=True).start()
+    done: list[str] = []
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out.path}/hits/{number}")
+        done.append(f"{out.path}/hits/{number}")
+
+    # Complete mode: append mode would keep the last windows in the state, and drop what comes later than the watermark.
+    query = hits.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{out.path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return tidy(spark.read.schema(hits.schema).parquet(f"{out.path}/hits"))
+    return tidy(spark.read.schema(hits.schema).parquet(done[-1]) if done else spark.createDataFrame([], hits.schema))
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -396,7 +403,10 @@ _CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "vertical_growth": (vertical_growth, None),
     "hierarchical_predict": (hierarchical_predict, None),
     "model_round_trip": (model_round_trip, None),
-    "stream_scoring": (stream_scoring, None),
+    "stream_scoring": (
+        stream_scoring,
+        "WITH book(nid, v, h) AS (VALUES (0, 0.0, 6.0), (1, 0.0, 18.0), (2, 100.0, 6.0), (3, 100.0, 18.0)), near AS (SELECT e.event_id, e.ts, b.nid, sqrt((e.value - b.v) ** 2 + (hour(e.ts) - b.h) ** 2) AS d FROM events e CROSS JOIN book b), best AS (SELECT ts, nid, d, row_number() OVER (PARTITION BY event_id ORDER BY d, nid) AS k FROM near) SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, CAST(nid AS BIGINT) AS neuron_id, count(*) AS hits, round(avg(d), 6) AS mean_distance FROM best WHERE k = 1 GROUP BY ALL",
+    ),
 }
 
 

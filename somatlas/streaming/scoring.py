@@ -14,6 +14,6 @@ def score_stream(stream: DataFrame, neurons: DataFrame) -> DataFrame:
 
 
 def hits_by_window(scored: DataFrame, time: str, window: str, watermark: str) -> DataFrame:
-    """start, neuron_id, hits and mean distance for each window; rows later than the watermark are dropped."""
+    """start, neuron_id, hits and mean distance for each window; in append and update mode rows later than the watermark are dropped, in complete mode none."""
     by = scored.withWatermark(time, watermark).groupBy(F.window(time, window).alias("w"), "neuron_id")
     return by.agg(F.count(F.lit(1)).alias("hits"), F.avg("distance").alias("mean_distance")).select(F.col("w.start").alias("start"), "neuron_id", "hits", "mean_distance")

@@ -36,3 +36,8 @@ def test_query_matches_sql(spark, oracle, name):
 def test_other_query_runs(spark, name):
     df = q.queries()[name](spark, DATA)
     assert df.count() > 0
+
+
+def test_stream_scoring_counts_every_event(spark, oracle):
+    hits = q.queries()["stream_scoring"](spark, DATA).collect()
+    assert sum(r["hits"] for r in hits) == oracle.execute("SELECT count(*) FROM events").fetchone()[0]
