@@ -1,8 +1,8 @@
 """Language by sparse multinomial logistic regression on TF-IDF of character n-grams.
 
 The n-grams are taken within words, border marks included; the vocabulary is
-the most frequent ones of a bounded sample of labelled texts, and their
-document frequencies are counted over all documents. The weights are learned
+the most frequent ones of a bounded sample of labelled texts, some of them kept
+for each language, and their document frequencies are counted over all documents. The weights are learned
 with the follow-the-regularised-leader rule (FTRL-proximal) under an
 elastic-net penalty, which leaves most of them at zero; a temperature fitted
 on a fifth of the sample then turns scores into probabilities.
@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from heapq import nsmallest
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from somatlas.llm.learning import bounded_sample, document_frequencies, held_out
 EXAMPLES = 1200  # of each language at most
 MAX_LANGUAGES = 64
 TERMS = 8192
-MAX_LETTERS = 120
+DENSE = 1 << 24  # places at most of a table that n-grams are looked up in directly
 SIZES = range(1, 4)
 BORDER = "_"
 CHUNK = 1 << 20  # characters that are looked at together
@@ -37,24 +39,28 @@ class Vectors:
     """Texts to (term numbers, counts). Terms are n-grams of letters, lower case, with "_" for what stands before and after a word.
 
     Letters become small numbers and n-grams numbers of base ``base``, so a
-    text's n-grams are found by a few array operations over all of it.
+    text's n-grams are found by a few array operations over all of it: in a
+    table of all numbers while that is small, else among the terms' sorted ones.
     """
 
     def __init__(self, vocabulary: list[str]):
         self.vocabulary, self.n = vocabulary, len(vocabulary)
         letters = sorted({c for t in vocabulary for c in t if c != BORDER})
         self.base = len(letters) + 2  # 0 a border, 1 a letter that no term has
-        self.letter = letter_table()
-        for i, c in enumerate(letters):
-            if ord(c) < len(self.letter):
-                self.letter[ord(c)] = i + 2
         place = {c: i + 2 for i, c in enumerate(letters)} | {BORDER: 0}
-        self.term = [np.full(self.base**k, -1, np.int16) for k in SIZES]
+        self.letter, self.high = letter_table(), {}
+        for c in letters:
+            if ord(c) < len(self.letter):
+                self.letter[ord(c)] = place[c]
+            else:
+                self.high[ord(c)] = place[c]
+        codes: list[dict[int, int]] = [{} for _ in SIZES]
         for i, t in enumerate(vocabulary):
             code = 0
             for c in t:
                 code = code * self.base + place[c]
-            self.term[len(t) - 1][code] = i
+            codes[len(t) - 1][code] = i
+        self.find = [lookup(c, self.base**k) for k, c in zip(SIZES, codes)]
 
     def __reduce__(self):
         return Vectors, (self.vocabulary,)
@@ -62,10 +68,10 @@ class Vectors:
     def letters(self, text: str) -> np.ndarray:
         """Letter numbers, borders around."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        out = np.zeros(len(points) + 2, np.int32)
+        out = np.zeros(len(points) + 2, np.int64 if self.base ** max(SIZES) >= 1 << 31 else np.int32)
         if len(points) and points.max() >= len(self.letter):
             high = points >= len(self.letter)
-            out[1:-1][high] = [chr(p).isalpha() for p in points[high]]
+            out[1:-1][high] = [self.high.get(p) or chr(p).isalpha() for p in points[high].tolist()]
             points = np.where(high, 32, points)
             out[1:-1] += self.letter[points]
         else:
@@ -82,11 +88,11 @@ class Vectors:
             x = x[(1 if at else 0) : (len(x) - 1 if at + CHUNK < len(text) else len(x))]
             any_letter |= bool(x.any())
             found = []
-            for k, term in zip(SIZES, self.term):
+            for k, find in zip(SIZES, self.find):
                 code = x[: len(x) - k + 1]
                 for j in range(1, k):
                     code = code * self.base + x[j : len(x) - k + 1 + j]
-                found.append(term[code[max(0, new - k + 1) :]])
+                found.append(find(code[max(0, new - k + 1) :]))
             ids = np.concatenate(found)
             total += np.bincount(ids[ids >= 0], minlength=self.n)
         at = np.flatnonzero(total)
@@ -96,6 +102,22 @@ class Vectors:
         return self.counts(text or "")[1:]
 
 
+def lookup(terms: dict[int, int], size: int) -> Callable[[np.ndarray], np.ndarray]:
+    """From arrays of n-gram numbers below ``size`` to those of their terms, -1 where there is none."""
+    if size <= DENSE:
+        table = np.full(size, -1, np.int16)
+        table[list(terms)] = list(terms.values())
+        return table.__getitem__
+    codes = np.array([*sorted(terms), size], np.int64)
+    found = np.array([*(terms[c] for c in sorted(terms)), -1], np.int16)
+
+    def search(x: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(codes, x)
+        return np.where(codes[at] == x, found[at], np.int16(-1))
+
+    return search
+
+
 _letters: list[np.ndarray] = []
 
 
@@ -188,19 +210,32 @@ def train(docs: DataFrame, examples: int = EXAMPLES) -> Model | None:
     rows.sort(key=lambda r: (hash_order(r["doc_id"]), r["lang"]))
     if not rows:
         return None
-    df: Counter = Counter()
-    for r in rows:
-        df.update(terms_in(r["text"]))
-    vocabulary = choose_terms(df)
+    vocabulary = choose_terms((r["lang"], r["text"]) for r in sorted(rows, key=lambda r: r["lang"]))
     found, n = document_frequencies(docs.select("text"), lambda: Vectors(vocabulary), len(vocabulary))
     return Model(Vectors(vocabulary), np.log((1 + n) / (1 + found)) + 1, [r["text"] for r in rows], [r["lang"] for r in rows])
 
 
-def choose_terms(df: Counter) -> list[str]:
-    """The most frequent terms over the most frequent letters."""
-    ranked = sorted(df.items(), key=lambda x: (-x[1], x[0]))
-    letters = {t for t, _ in [x for x in ranked if len(x[0]) == 1][:MAX_LETTERS]} | {BORDER}
-    return [t for t, _ in ranked if letters.issuperset(t)][:TERMS]
+def choose_terms(examples: Iterable[tuple[str, str]], limit: int = TERMS) -> list[str]:
+    """The terms of most of the examples, which are sorted by language: half of the places are for the languages' own most frequent ones.
+
+    So a script that one rare language has keeps its letters, and what it has in common with no other.
+    """
+    df: Counter = Counter()
+    own: list[list[str]] = []
+    for _, texts in groupby(examples, lambda x: x[0]):
+        here: Counter = Counter()
+        for _, t in texts:
+            here.update(terms_in(t))
+        own.append([t for t, _ in nsmallest(limit // 2, here.items(), lambda x: (-x[1], x[0]))])
+        df.update(here)
+    share = max(1, limit // 2 // max(1, len(own)))
+    chosen = {t for terms in own for t in terms[:share]}
+    ranked = [t for t, _ in sorted(df.items(), key=lambda x: (-x[1], x[0]))]
+    for t in ranked:
+        if len(chosen) >= limit:
+            break
+        chosen.add(t)
+    return [t for t in ranked if t in chosen]
 
 
 def hash_order(key: int) -> int:
