@@ -2,7 +2,8 @@
 
 The n-grams are taken within words, border marks included; the vocabulary is
 the most frequent ones of a bounded sample of labelled texts, some of them kept
-for each language, and their document frequencies are counted over all documents. The weights are learned
+for each language, and their document frequencies are counted over all documents. Every language that has
+labelled texts is learned; the more there are, the fewer texts of each. The weights are learned
 with the follow-the-regularised-leader rule (FTRL-proximal) under an
 elastic-net penalty, which leaves most of them at zero; a temperature fitted
 on a fifth of the sample then turns scores into probabilities.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from somatlas.llm.learning import bounded_sample, document_frequencies, held_out, sampled_texts, words_of
 
 EXAMPLES = 1200  # of each language at most
-MAX_LANGUAGES = 64
+ALL_EXAMPLES = 64 * EXAMPLES  # of all languages; with more languages each has fewer
 TERMS = 8192
 DENSE = 1 << 24  # places at most of a table that n-grams are looked up in directly
 SIZES = range(1, 4)
@@ -206,7 +207,7 @@ class Model:
 def train(docs: DataFrame, examples: int = EXAMPLES) -> Model | None:
     """Learn from text and non-null lang of the documents that are not held out; None if there are none."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    rows = sampled_texts(docs, bounded_sample(known, "lang", "doc_id", examples, MAX_LANGUAGES), "lang").collect()  # at most examples x MAX_LANGUAGES
+    rows = sampled_texts(docs, bounded_sample(known, "lang", "doc_id", examples, None, ALL_EXAMPLES), "lang").collect()  # at most ALL_EXAMPLES, or one a language
     rows.sort(key=lambda r: (hash_order(r["doc_id"]), r["lang"]))
     if not rows:
         return None
@@ -250,7 +251,7 @@ def predict_documents(docs: DataFrame) -> DataFrame:
     any labelled row all are. Equal texts get equal predictions; repeated rows
     are repeated; a null doc_id is not held out.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs))  # TERMS x MAX_LANGUAGES at most
+    model = docs.sparkSession.sparkContext.broadcast(train(docs))  # TERMS numbers a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value

@@ -20,24 +20,43 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, label: str, key: str, cap: int, max_labels: int = 64) -> DataFrame:
+def bounded_sample(rows: DataFrame, label: str, key: str, cap: int, max_labels: int | None = 64, total: int | None = None) -> DataFrame:
     """At most ``cap`` keys of each of the ``max_labels`` most frequent labels: the first by a hash of the key.
 
     ``rows`` is columns of keys and labels alone. A label's count tells which
     share of the hash's range holds about four times ``cap`` rows; only those
     are made distinct and ranked, so a label with most of the rows costs no
     more than another. Where most rows are repeated the sample is smaller.
+    Without ``max_labels`` all labels are taken, and ``cap`` is lowered, to 1 at
+    least, until all of them together have at most ``total`` rows.
     """
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
+    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label)
+    counts = (counts if max_labels is None else counts.limit(max_labels)).collect()
+    if total is not None:
+        cap = level([r["count"] for r in counts], cap, total)
     at = F.xxhash64(F.col(key), F.lit("sample"))
     place = (F.shiftrightunsigned(at, 11)).cast("double") / float(1 << 53)
+    shares = [(r[0], min(1.0, 4.0 * max(cap, 50) / r["count"])) for r in counts]
     share = F.lit(-1.0)
-    for r in counts:
-        share = F.when(F.col(label) == r[0], min(1.0, 4.0 * max(cap, 50) / r["count"])).otherwise(share)
+    if len(shares) > 64:  # a row a label, not an expression a label
+        table = rows.sparkSession.createDataFrame(shares, rows.select(F.col(label).alias("__label")).schema.add("__share", "double"))
+        rows = rows.join(F.broadcast(table), F.col(label) == F.col("__label")).where(place <= F.col("__share")).select(*rows.columns)
+        shares, place = [], F.lit(-1.0)
+    for value, x in shares:
+        share = F.when(F.col(label) == value, x).otherwise(share)
     order = Window.partitionBy(label).orderBy(at, F.col(key))
     return rows.where(place <= share).distinct().withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= cap).drop("__n")
 
 
+def level(counts: list[int], cap: int, total: int) -> int:
+    """The largest number up to ``cap``, 1 at least, at which labels of these counts give at most ``total`` rows."""
+    low, high = 1, max(1, cap)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if sum(min(n, middle) for n in counts) <= total else (low, middle - 1)
+    return low
+
+
 def sampled_texts(docs: DataFrame, picked: DataFrame, label: str) -> DataFrame:
     """doc_id, label and text of the picked keys that have a text short enough; of several texts of one key, the smallest.
 

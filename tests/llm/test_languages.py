@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from somatlas.llm import langid
+from somatlas.llm import langid, learning
 from tests.llm.common import DOCS
 
 SCRIPTS = {"ru": 0x430, "el": 0x3B1, "hy": 0x561, "ka": 0x10D0, "he": 0x5D0, "hi": 0x915, "th": 0xE01, "am": 0x1200, "zh": 0x4E00, "ko": 0xAC00, "got": 0x10330}
@@ -36,3 +36,24 @@ def test_lookups_agree(monkeypatch, dense):
     v = langid.Vectors(["a", "_a", "ab", "ab_", "é", "\U00010330", "_\U00010330\U00010331"])
     letters, at, n = v.counts("Ab ab é1 \U00010330\U00010331 x")
     assert letters and dict(zip(at.tolist(), n.tolist())) == {0: 2, 1: 2, 2: 2, 3: 2, 4: 1, 5: 1, 6: 1}
+
+
+def test_more_than_64_languages_are_all_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "ALL_EXAMPLES", 900)
+    rng, rows = random.Random(4), []
+    letters = [chr(c) for c in range(0x61, 0x7B)]
+    for k in range(80):
+        mine = rng.sample(letters, 7)
+        rows += [(len(rows) + i, words(rng, mine), f"l{k:02d}", "x", 1) for i in range(30 - k // 8)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    picked = learning.bounded_sample(docs.select("doc_id", "lang"), "lang", "doc_id", 1200, None, 900).groupBy("lang").count().collect()
+    assert len(picked) == 80 and {r["count"] for r in picked} == {11}
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict_documents(docs).collect()}
+    right = [got[r[0]] == r[2] for r in rows]
+    assert set(got.values()) == {r[2] for r in rows} and sum(right) > 0.8 * len(right)
+
+
+def test_level():
+    assert learning.level([5, 100], 50, 1000) == 50
+    assert learning.level([5, 100, 100], 50, 45) == 20
+    assert learning.level([5] * 10, 50, 3) == 1
