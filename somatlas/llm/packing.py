@@ -15,7 +15,7 @@ The histogram has at most ``length`` rows, which bounds what the driver sees.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,7 @@ from somatlas.runtime import Scratch, ordered_rank
 
 LENGTH = 2048
 UNIT = 16
+BLOCK = 1024  # ranks whose running total is one task's
 
 
 def best_pattern(prices: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -51,24 +52,27 @@ def best_pattern(prices: np.ndarray, sizes: np.ndarray, room: int) -> tuple[floa
     return float(value[room]), counts
 
 
-def choose_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 5000) -> list[tuple[int, np.ndarray]]:
+def choose_patterns(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[int, np.ndarray]]:
     """(uses, counts) of patterns, uses rounded down from the linear program's.
 
     min sum(x), P x = demand, x >= 0. The start basis repeats one class a
-    pattern; each round the knapsack prices all patterns and the best enters.
-    Any basis on the way is feasible, so ``rounds`` only bounds the quality.
+    pattern; each round the knapsack prices all patterns and the best enters,
+    until none pays. The demand is shifted a little while the basis is chosen,
+    each class by another amount, so no round leaves the sum as it is and the
+    rounds come to an end.
     """
     m = len(sizes)
     if not m:
         return []
     d = demand / demand.sum()
+    shifted = d + 1e-8 * (1 + np.arange(m) / m) / m
     basis = np.diag((room // sizes).astype(float))
-    for _ in range(rounds):
+    while True:
         prices = np.linalg.solve(basis.T, np.ones(m))
         value, counts = best_pattern(prices, sizes, room)
         if value <= 1 + 1e-9:
             break
-        x, step = np.linalg.solve(basis, d), np.linalg.solve(basis, counts.astype(float))
+        x, step = np.linalg.solve(basis, shifted), np.linalg.solve(basis, counts.astype(float))
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(step > 1e-11, np.maximum(x, 0) / step, np.inf)
         k = int(ratio.argmin())
@@ -91,14 +95,16 @@ def _blocks(low: str, high: str) -> str:
     return f"sequence({low} div {LENGTH}, ({high} - 1) div {LENGTH})"
 
 
-def plan_pieces(lengths: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
+def plan_pieces(lengths: DataFrame, scratch: Scratch, length: int = LENGTH, ties: Sequence[str] = ()) -> DataFrame:
     """Pieces (uid, start, n, sequence_id, offset) of a table (uid, n_tokens); uid must be unique.
 
     Every token of a document is in one piece and only the last sequence can
-    be padded. Documents without tokens have no piece.
+    be padded. Documents without tokens have no piece. Documents of one length
+    are ranked by the columns ``ties``, and by uid only where those are equal
+    too: with a key and a checksum there, the order of the rows doesn't matter.
     """
     spark: SparkSession = scratch.spark
-    docs = lengths.where("n_tokens > 0").select("uid", (F.col("n_tokens") % length).cast("int").alias("r"), F.expr(f"n_tokens div {length}").alias("full"))
+    docs = lengths.where("n_tokens > 0").select("uid", *ties, (F.col("n_tokens") % length).cast("int").alias("r"), F.expr(f"n_tokens div {length}").alias("full"))
     histogram = docs.groupBy("r").agg(F.count(F.lit(1)).alias("n"), F.sum("full").alias("full")).collect()
     n_full = sum(h["full"] for h in histogram)
     tokens = sum(h["r"] * h["n"] for h in histogram)
@@ -123,7 +129,7 @@ def plan_pieces(lengths: DataFrame, scratch: Scratch, length: int = LENGTH) -> D
     extra_base = n_pattern + n_full
 
     rest = docs.where("r > 0").withColumn("class", F.expr(f"(r + {UNIT - 1}) div {UNIT}"))
-    ranked = ordered_rank(scratch, rest, [F.col("class"), -F.col("r"), F.col("uid")], "ranked")
+    ranked = ordered_rank(scratch, rest, [F.col("class"), -F.col("r"), *map(F.col, ties), F.col("uid")], "ranked")
     table = F.broadcast(spark.createDataFrame(rows, "class long, low long, high long, times long, base long"))  # patterns x classes, at most LENGTH / UNIT each
     dealt = ranked.join(table, (ranked["class"] == table["class"]) & ranked["__rank"].between(table["low"], table["high"] - 1), "left")
     dealt = scratch.save(dealt.select("uid", "r", "full", "__rank", F.expr("base + (__rank - low) div times").alias("sequence_id")), "dealt")
@@ -132,8 +138,8 @@ def plan_pieces(lengths: DataFrame, scratch: Scratch, length: int = LENGTH) -> D
     placed = dealt.where("sequence_id is not null").withColumn("offset", F.sum("r").over(inside) - F.col("r"))
     out = placed.select("uid", (F.col("full") * length).alias("start"), F.col("r").cast("long").alias("n"), "sequence_id", "offset")
 
-    whole = docs.where("full > 0").select("uid", F.explode(F.expr("sequence(0L, full - 1)")).alias("piece"))
-    whole = ordered_rank(scratch, whole, [F.col("uid"), F.col("piece")], "whole", rank="place")
+    whole = docs.where("full > 0").select("uid", *ties, F.explode(F.expr("sequence(0L, full - 1)")).alias("piece"))
+    whole = ordered_rank(scratch, whole, [*map(F.col, ties), F.col("uid"), F.col("piece")], "whole", rank="place")
     out = out.unionByName(whole.select("uid", (F.col("piece") * length).alias("start"), F.lit(length).cast("long").alias("n"), (F.col("place") + n_pattern).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
 
     # The room in the patterns' sequences and the documents left over are intervals on one line.
@@ -152,13 +158,17 @@ def plan_pieces(lengths: DataFrame, scratch: Scratch, length: int = LENGTH) -> D
 
 
 def running_total(scratch: Scratch, df: DataFrame, order: list, weight: str, name: str) -> DataFrame:
-    """Add ``before``: the sum of ``weight`` over all rows before this one in the order given. The sums are taken in blocks of ranks."""
-    ranked = ordered_rank(scratch, df, order, name, rank="__r").withColumn("__block", F.expr("__r div 8192"))
-    sums = ranked.groupBy("__block").agg(F.sum(weight).alias("__sum"))
-    line = Window.partitionBy(F.lit(0)).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
-    sums = sums.select("__block", F.coalesce(F.sum("__sum").over(line), F.lit(0)).alias("__base"))
-    own = Window.partitionBy("__block").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    out = ranked.withColumn("before", F.coalesce(F.sum(weight).over(own), F.lit(0))).join(sums, "__block")
+    """Add ``before``: the sum of ``weight`` over all rows before this one in the order given.
+
+    The sums are taken in blocks of ranks, and in blocks of blocks; what is
+    left for one task is a row for each BLOCK * BLOCK rows.
+    """
+    ranked = ordered_rank(scratch, df, order, name, rank="__r").withColumn("__block", F.expr(f"__r div {BLOCK}"))
+    sums = ranked.groupBy("__block").agg(F.sum(weight).alias("__sum")).withColumn("__over", F.expr(f"__block div {BLOCK}"))
+    before = lambda part, by, value: F.coalesce(F.sum(value).over(Window.partitionBy(part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    over = sums.groupBy("__over").agg(F.sum("__sum").alias("__osum")).select("__over", before(F.lit(0), "__over", "__osum").alias("__obase"))
+    sums = sums.withColumn("__base", before("__over", "__block", "__sum")).join(over, "__over").select("__block", (F.col("__base") + F.col("__obase")).alias("__base"))
+    out = ranked.withColumn("before", before("__block", "__r", weight)).join(sums, "__block")
     return out.withColumn("before", F.col("before") + F.col("__base")).drop("__block", "__base", "__r")
 
 
@@ -197,8 +207,9 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, length: int = LENGTH
 
     Null text counts as empty and packs the end id alone; a null doc_id is
     kept; repeated rows are packed as often as they occur; an empty table
-    gives no pieces; other columns are ignored.
+    gives no pieces; other columns are ignored. The pieces depend on the rows,
+    not on their order or partitions.
     """
-    tokens = scratch.save(tokenize(docs, tokenizer, end_id).withColumn("uid", F.monotonically_increasing_id()), "tokens")
-    pieces = plan_pieces(tokens.select("uid", "n_tokens"), scratch, length)
+    tokens = scratch.save(tokenize(docs, tokenizer, end_id).withColumns({"uid": F.monotonically_increasing_id(), "mark": F.xxhash64("ids")}), "tokens")
+    pieces = plan_pieces(tokens.select("uid", "n_tokens", "doc_id", "mark"), scratch, length, ("doc_id", "mark"))
     return cut_pieces(tokens, pieces, id_dtype(tokenizer), with_ids)

@@ -444,6 +444,14 @@ def test_packing_odd_rows(spark, scratch):
     assert packing.pack(empty(df), scratch, PATH).count() == 0
 
 
+def test_packing_does_not_depend_on_the_order_of_rows(spark, scratch):
+    docs = table(spark, DATA, "documents").select("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id < 20")).unionByName(docs.where("doc_id < 9").withColumn("doc_id", F.lit(3).cast("long")))
+    orders = (docs, docs.orderBy(F.desc("doc_id")), docs.repartition(7, "text"), docs.orderBy(F.xxhash64("text")).coalesce(1))
+    one, *others = (Counter(map(tuple, packing.pack(scratch.save(d), scratch, PATH).collect())) for d in orders)
+    assert all(x == one for x in others) and sum(one.values()) > docs.count()
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_plans(spark, scratch, seed):
     rng = np.random.default_rng(seed)
