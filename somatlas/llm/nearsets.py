@@ -1,15 +1,20 @@
-"""Near duplicates by word shingles: every pair of documents whose shingle sets have a Jaccard similarity of at least 4/5, as components.
-
-The search is exact, not by fingerprints: at 4/5 fingerprints of 64 bits differ
-in up to 17 bits, which no banding can look for. In any one order of all
-shingles, two sets that similar share one of the first ``n - ceil(4n/5) + 1``
-shingles of each (prefix filter), so they meet in the bucket of that shingle;
-sizes and places in the prefix rule out most pairs of a bucket, and what is
-left is checked on the whole sets. The order is by how many sampled documents
-hold a shingle, then by hash: the sample keeps buckets small and cannot change
-what is found. Equal sets are one node, so copies cost no pairs. Large buckets
-are first linked along the bucket; of their other pairs only those are checked
-whose sets are not in one component yet.
+"""SimHash near-dedup at a Jaccard similarity: documents whose sets of five-word shingles share at least 4/5, as components.
+
+Two searches give candidate pairs. The first is op7's: 64-bit fingerprints of
+the five-word shingles, compared bit-sliced, at 2 or fewer differing bits. At
+4/5 fingerprints differ in up to 17 bits, which no banding can look for, so
+the second makes the result whole: in any one order of all shingles, two sets
+that similar share one of the first ``n - ceil(4n/5) + 1`` shingles of each
+(prefix filter), so they meet in the bucket of that shingle. The order is by
+how many sampled documents hold a shingle, then by hash: the sample keeps
+buckets small and cannot change what is found.
+
+A set's parity sketch has a bit for each residue of its hashes, set if an odd
+number of them has it. Two sketches never differ in more bits than there are
+shingles that only one set has, so a pair whose sketches differ in too many is
+given up without its sets, and no link is lost. What is left is checked on the
+whole sets: first the nearest candidate of each set, then only pairs that are
+not in one component yet. Equal sets are one node, so copies cost no pairs.
 """
 
 from __future__ import annotations
@@ -19,31 +24,42 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from somatlas.llm.simhash import LOWER, SEED, components, with_row_key
-from somatlas.runtime import Scratch
+from somatlas.llm.simhash import SEED, components, links_between, majority, shingle_hashes
+from somatlas.runtime import Scratch, ordered_rank
 
 SHINGLE = 5
 SIMILARITY = (4, 5)
 SAMPLE = 8192  # documents, about, whose shingles are counted for the order
 COMMON = 1 << 18  # shingles at most that the order puts last
 NEXT = 8  # how many of the sets after it, in a bucket, a set is compared to at once
+CHUNK = 1 << 16  # rows that are looked at together
+BLOCK = 2048  # rows of a large bucket that are compared to as many others in one go
 PAIRS = 1 << 16  # rows of a batch
+FILTER_BITS = 1 << 25  # at most, of the filter that names rows
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; a shorter text is one shingle, one without words has none."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - size + 1)
-    hashed = xxhash.xxh64_intdigest
-    return np.unique(np.array([hashed(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist())], np.uint64))
+    return np.unique(shingle_hashes(text, size))
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """The set's parity sketch; it has a power of two bits, at least twice as many as the set has members."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketches_apart(a: bytes, b: bytes) -> int:
+    """In how many bits two sketches differ, the larger one folded: at most the number of members that only one set has."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    if len(x) < len(y):
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def prefix_of(s: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: tuple[int, int] = SIMILARITY) -> np.ndarray:
@@ -58,103 +74,166 @@ def prefix_of(s: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity:
     return s[np.argsort(np.where(common[at] == s, counts[at], 0), kind="stable")[:n]]
 
 
-def common_shingles(docs: DataFrame, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that more than one document of a bounded sample holds, sorted, and in how many; at most COMMON."""
-    every = max(1, docs.count() // SAMPLE)
+def common_shingles(keyed: DataFrame, n: int, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that more than one document of a bounded sample holds, sorted, and in how many; at most COMMON. ``keyed`` has f, r and text, and about ``n`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in b.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), size).view(np.int64))], names=["token"])
 
-    picked = docs.where(F.pmod(F.xxhash64("__file", "__row"), F.lit(every)) == 0).select("text")
+    picked = keyed.where(F.pmod(F.xxhash64("f", "r"), F.lit(max(1, n // SAMPLE))) == 0).select("text")
     found = picked.mapInArrow(run, "token long").groupBy("token").count().where("count > 1").orderBy(F.desc("count"), "token").limit(COMMON).toArrow()
     tokens, counts = np.asarray(found.column(0).combine_chunks()).view(np.uint64), np.asarray(found.column(1).combine_chunks())
     at = np.argsort(tokens)
     return tokens[at], counts[at]
 
 
-def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of whole buckets of rows sorted by the first column."""
-    held: list[list[np.ndarray]] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        new = [np.asarray(c) for c in b.columns]
-        if held and held[0][0][0] == new[0][-1]:
-            held.append(new)
-            continue
-        cols = [np.concatenate(x) for x in zip(*held, new)]
-        last = int(np.searchsorted(cols[0], cols[0][-1]))
-        if last:
-            yield [c[:last] for c in cols]
-        held = [[c[last:] for c in cols]]
-    if held:
-        yield [np.concatenate(x) for x in zip(*held)]
-
-
 def possible(n: np.ndarray, place: np.ndarray, i, j, similarity: tuple[int, int] = SIMILARITY) -> np.ndarray:
     """Whether i and j can be similar if the shingle of their bucket is the first they share."""
     p, q = similarity
     return np.minimum(n[i] - place[i], n[j] - place[j]) * (p + q) >= p * (n[i] + n[j])
 
 
+def chunks(batches: Iterator[pa.RecordBatch], rows: int = CHUNK) -> Iterator[list[np.ndarray]]:
+    """The columns of about ``rows`` rows at a time."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield [np.asarray(c.combine_chunks()) for c in pa.Table.from_batches(held).columns]
+            held = []
+    if sum(x.num_rows for x in held):
+        yield [np.asarray(c.combine_chunks()) for c in pa.Table.from_batches(held).columns]
+
+
 def _first_pairs(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, n, id, place), sorted. kind 0: ids a and b to be compared; kind 1: a row of a bucket with more pairs than those."""
-    for token, n, ids, place in buckets(batches):
+    """Rows (token, n, id, place), sorted. kind 0: ids a and b to be compared; kind 1: a row of a bucket that may have more pairs than those.
+
+    A bucket that the chunk's or the task's end may have cut is one of these.
+    """
+    for token, n, ids, place in chunks(batches):
         start = np.concatenate([[True], token[1:] != token[:-1]])
         first = np.maximum.accumulate(np.where(start, np.arange(len(token)), 0))
         sizes = np.diff(np.append(np.flatnonzero(start), len(token)))
-        size = np.repeat(sizes, sizes)
+        large = np.repeat(sizes > NEXT + 1, sizes) | (token == token[0]) | (token == token[-1])
         row = np.arange(len(token))
         steps = [(row[k:][first[k:] == first[:-k]], k) for k in range(1, NEXT + 1) if k < len(row)]
         i = np.concatenate([row[:0], *(r for r, _ in steps), row[row > first + NEXT]])
         j = np.concatenate([row[:0], *(r - k for r, k in steps), first[row > first + NEXT]])
         ok = possible(n, place, i, j, similarity)
-        large = size > NEXT + 1
         pairs, rows = int(ok.sum()), int(large.sum())
-        if pairs + rows:
-            a, b = np.maximum(ids[i[ok]], ids[j[ok]]), np.minimum(ids[i[ok]], ids[j[ok]])
-            zero = np.zeros(pairs, np.int64)
-            cols = [np.repeat([0, 1], [pairs, rows]).astype(np.int32), np.concatenate([zero, token[large]]), np.concatenate([zero, n[large]]), np.concatenate([a, ids[large]]), np.concatenate([b, place[large]])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "token", "n", "a", "b"])
+        a, b = np.maximum(ids[i[ok]], ids[j[ok]]), np.minimum(ids[i[ok]], ids[j[ok]])
+        zero = np.zeros(pairs, np.int64)
+        cols = [np.repeat([0, 1], [pairs, rows]).astype(np.int32), np.concatenate([zero, token[large]]), np.concatenate([zero, n[large]]), np.concatenate([a, ids[large]]), np.concatenate([b, place[large]])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "token", "n", "a", "b"])
+
 
+def _cell_pairs(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, side, n, id, place, root), sorted by the first three: all pairs of the two sides of a cell that can be similar and are of two components.
 
-def _other_pairs(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, n, id, place, root), sorted: all pairs of a bucket that can be similar and are of two components."""
+    A cell has at most two blocks of rows. A block that meets itself has one side only.
+    """
     p, q = similarity
-    for token, n, ids, place, root in buckets(batches):
-        held, count = [], 0
-        ends = np.append(np.flatnonzero(token[1:] != token[:-1]) + 1, len(token))
-        at = 0
-        for end in ends.tolist():
-            least = np.searchsorted(n[at:end], -(-p * n[at:end] // q)) + at
-            for i in range(at + 1, end):
-                j = np.arange(least[i - at], i)
-                j = j[(root[j] != root[i]) & possible(n, place, i, j, similarity)]
-                if len(j):
-                    held.append((np.maximum(ids[j], ids[i]), np.minimum(ids[j], ids[i])))
-                    count += len(j)
-                    if count >= PAIRS:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["a", "b"])
-                        held, count = [], 0
-            at = end
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["a", "b"])
+
+    def pairs(side, n, ids, place, root) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        cut = int(np.searchsorted(side, 1))
+        one = cut in (0, len(side))
+        for i in range(1 if one else 0, len(side) if one else cut):
+            low, end = (0, i) if one else (cut, len(side))  # sides are sorted by n
+            low += int(np.searchsorted(n[low:end], -(-p * n[i] // q)))
+            end = low + int(np.searchsorted(n[low:end], q * n[i] // p, "right"))
+            j = np.arange(low, end)
+            j = j[(root[j] != root[i]) & possible(n, place, i, j, similarity)]
+            if len(j):
+                yield np.maximum(ids[j], ids[i]), np.minimum(ids[j], ids[i])
+
+    held, count, open_ = [], 0, []
+    for cols in chunks(batches, 4 * BLOCK):
+        cols = [np.concatenate(x) for x in zip(*open_, cols)]
+        ends = [*(np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1).tolist()]
+        for at, end in zip([0, *ends], ends):
+            for a, b in pairs(*(c[at:end] for c in cols[1:])):
+                held.append((a, b))
+                count += len(a)
+                if count >= PAIRS:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["a", "b"])
+                    held, count = [], 0
+        open_ = [[c[ends[-1] if ends else 0 :] for c in cols]]
+    if open_:
+        held += pairs(*(c for c in open_[0][1:]))
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["a", "b"])
+
+
+def other_pairs(large: DataFrame, scratch: Scratch, similarity: tuple[int, int], block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of rows (token, n, id, place, root) with one token and two roots that can be similar.
+
+    All rows are ranked by (token, root, n) and cut into blocks; two blocks of
+    a token meet in a cell unless they are of one component or their sizes
+    are too far apart. So no task gets more of a bucket than two blocks.
+    """
+    p, q = similarity
+    ranked = ordered_rank(scratch, scratch.save(large, "large"), [F.col(c) for c in ("token", "root", "n", "id")], "ranked").withColumn("block", F.expr(f"__rank div {block}"))
+    blocks = ranked.groupBy("token", "block").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.count(F.lit(1)).alias("rows"))
+    blocks = scratch.save(blocks.withColumn("one", F.col("r0") == F.col("r1")), "blocks")
+    x, y = (blocks.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "r0", "n0", "n1", "rows", "one"))) for k in "xy")
+    apart = ~(F.col("one_x") & F.col("one_y") & (F.col("r0_x") == F.col("r0_y")))
+    near = (q * F.col("n1_x") >= p * F.col("n0_y")) & (q * F.col("n1_y") >= p * F.col("n0_x"))
+    cells = x.join(y, "token").where((F.col("block_x") <= F.col("block_y")) & apart & near)
+    cell = F.xxhash64("token", "block_x", "block_y").alias("cell")
+    sides = F.when(F.col("block_x") == F.col("block_y"), F.array(F.struct(F.lit(0).alias("side"), F.col("block_x").alias("block")))).otherwise(
+        F.array(F.struct(F.lit(0).alias("side"), F.col("block_x").alias("block")), F.struct(F.lit(1).alias("side"), F.col("block_y").alias("block")))
+    )
+    cells = scratch.save(cells.select("token", cell, F.explode(sides).alias("s")).select("token", "cell", "s.side", "s.block"), "cells")
+    dealt = ranked.join(cells, ["token", "block"]).select("cell", "side", "n", "id", "place", "root")
+    return dealt.repartition("cell").sortWithinPartitions("cell", "side", "n", "id").mapInArrow(lambda it: _cell_pairs(it, similarity), "a long, b long").distinct()
+
+
+def prune(pairs: DataFrame, nodes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """a, b and gap (in how many bits their sketches differ) of the pairs whose sizes and sketches allow the similarity."""
+    p, q = similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gap = np.array([sketches_apart(x.as_py(), y.as_py()) for x, y in zip(b.column(2), b.column(3))], np.int64)
+            ok = pa.array(gap * (p + q) <= np.asarray(b.column(4)) * (q - p))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gap)], names=["a", "b", "gap"]).filter(ok)
+
+    x, y = (nodes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"k{k}")) for k in "ab")
+    both = pairs.join(x, "a").join(y, "b").where((q * F.col("na") >= p * F.col("nb")) & (q * F.col("nb") >= p * F.col("na")))
+    return both.select("a", "b", "ka", "kb", (F.col("na") + F.col("nb")).alias("n")).mapInArrow(run, "a long, b long, gap long")
+
+
+def row_filter(keys: DataFrame) -> tuple[DataFrame, Column]:
+    """One row ``bits`` of at most FILTER_BITS bits, and the condition on (f, r, bits) that holds for all rows (f, r) of ``keys`` and few others.
+
+    It says which texts need not move; who may stay out is decided by a join.
+    """
+    spark = keys.sparkSession
+    bits = min(FILTER_BITS, 1 << max(10, (16 * keys.count()).bit_length()))
+    pos = F.pmod(F.xxhash64("f", "r"), F.lit(bits))
+    words = keys.select(pos.alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(p % 64)))").alias("v")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[np.asarray(words.column(0).combine_chunks())] = np.asarray(words.column(1).combine_chunks())
+    row = spark.createDataFrame(pa.table({"bits": pa.array([out], pa.list_(pa.int64()))}))
+    place = f"pmod(xxhash64(f, r), {bits}L)"
+    return F.broadcast(row), F.expr(f"(shiftright(bits[int({place} div 64)], int({place} % 64)) & 1L) = 1L")
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, scratch: Scratch, size: int, similarity: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough. Only texts that are in a pair are made into sets."""
     p, q = similarity
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    places = nodes.join(wanted, "id", "left_semi").select("id", F.col("first.f").alias("__file"), F.col("first.r").alias("__row"))
+    places = scratch.save(nodes.join(wanted, "id", "left_semi").select("id", F.col("first.f").alias("f"), F.col("first.r").alias("r")), "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = pa.array([shingles(t.as_py(), size).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), sets], names=["id", "s"])
 
-    texts = keyed.select("__file", "__row", "text").join(places.hint("shuffle_hash"), ["__file", "__row"]).select("id", "text")
+    bits, named = row_filter(places)
+    texts = keyed.select("f", "r", "text").join(bits, named).join(places.hint("shuffle_hash"), ["f", "r"]).select("id", "text")
     sets = scratch.save(texts.mapInArrow(run, "id long, s array<long>"), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -163,41 +242,91 @@ def similar(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, scratch: Scrat
     return links
 
 
+def _scans_one_table(df: DataFrame) -> bool:
+    """Whether every row of ``df`` is a row of files, once."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return "Relation" in node.nodeName()
+
+
+def with_row_key(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc (all columns, as a struct), f and r: which row of which file it is. A DataFrame that isn't one of files is written first."""
+    try:
+        meta = docs.metadataColumn("_metadata")
+        if _scans_one_table(docs):
+            return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc"), F.xxhash64(meta["file_path"]).alias("f"), meta["row_index"].alias("r"))
+    except AnalysisException:
+        pass
+    return with_row_key(scratch.save(docs, "documents"), scratch)
+
+
+def content(docs: DataFrame) -> Column:
+    """A hash of the row's columns in ``doc`` but those with maps, which Spark can't hash."""
+    return F.xxhash64(*(F.col(f"doc.`{f.name}`") for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))))
+
+
 def keep_representatives(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """The rows, with all their columns, that stand for their component: of each the one with the smallest doc_id (null last).
 
-    Texts without words are one node. Rows of one doc_id in one component are
-    told apart by their place in the files, so repeated rows leave one.
+    Rows of one doc_id in one component are told apart by a hash of their
+    columns, and where those are equal too any one of them is the same row. So
+    repeated rows leave one, and the order of the rows doesn't matter. Texts
+    without words, null among them, are one node. Columns may have any names;
+    an empty table stays empty.
     """
-    keyed = with_row_key(docs, scratch)
+    whole = with_row_key(docs, scratch)
+    keyed = whole.select(F.col("doc.doc_id").cast("long").alias("doc_id"), "f", "r", F.col("doc.text").alias("text"), content(docs).alias("h"))
     sc = docs.sparkSession.sparkContext
-    order = sc.broadcast(common_shingles(keyed.select("__file", "__row", "text"), size))
+    order = sc.broadcast(common_shingles(keyed.select("f", "r", "text"), docs.count(), size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t.as_py(), size) for t in b.column(3)]
-            ids = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64))
+            sets = [shingles(t.as_py(), size) for t in b.column(4)]
+            whole_hash = lambda make: pa.array(np.array([make(s) for s in sets], np.uint64).view(np.int64))
             prefix = pa.array([prefix_of(s, *order.value, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], ids, pa.array([len(s) for s in sets], pa.int64()), prefix], names=["doc_id", "__file", "__row", "id", "n", "prefix"])
-
-    rows = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "__file", "__row", "text").mapInArrow(run, "doc_id long, __file long, __row long, id long, n long, prefix array<long>")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("__file").alias("f"), F.col("__row").alias("r")))
-    nodes = scratch.save(rows.groupBy("id").agg(first.alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
-
-    exploded = nodes.select("n", "id", F.posexplode("prefix").alias("place", "token"))
-    dealt = exploded.select("token", "n", "id", F.col("place").cast("long").alias("place")).repartition("token").sortWithinPartitions("token", "n", "id")
+            new = [whole_hash(lambda s: xxhash.xxh64_intdigest(s.tobytes(), SEED)), whole_hash(majority), pa.array([len(s) for s in sets], pa.int64()), prefix, pa.array([sketch(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *new], names=["doc_id", "f", "r", "h", "id", "fp", "n", "prefix", "sketch"])
+
+    rows = keyed.select("doc_id", "f", "r", "h", "text").mapInArrow(run, "doc_id long, f long, r long, h long, id long, fp long, n long, prefix array<long>, sketch binary")
+    rows = scratch.save(rows, "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), "h", "f", "r"))
+    nodes = scratch.save(rows.groupBy("id").agg(first.alias("first"), *(F.first(c).alias(c) for c in ("fp", "n", "prefix", "sketch"))), "nodes")
+    places = scratch.save(rows.select("f", "r"), "rows_at")
+    scratch.drop(rows)
+
+    # Candidates: bit-sliced fingerprints, then prefixes.
+    fps = scratch.save(nodes.where("n > 0").groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("k")), "fingerprints")
+    close = links_between(fps.select("fp"), scratch, direct=True)
+    close = close.join(fps.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b")
+    same = nodes.where("n > 0").select("fp", "id").join(fps.where("k > 1"), "fp").where("id <> low").select(F.col("id").alias("x"), F.col("low").alias("y"))
+    close = close.select("x", "y").unionByName(same).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
+    exploded = nodes.select("n", "id", F.posexplode("prefix").alias("place", "token")).select("token", "n", "id", F.col("place").cast("long").alias("place"))
+    dealt = exploded.repartitionByRange("token", "n", "id").sortWithinPartitions("token", "n", "id")
     found = scratch.save(dealt.mapInArrow(lambda it: _first_pairs(it, similarity), "kind int, token long, n long, a long, b long"), "first_pairs")
-    pairs = scratch.save(found.where("kind = 0").select("a", "b").distinct(), "pairs")
-    links = similar(pairs, nodes, keyed, scratch, size, similarity)
+    tried = scratch.save(found.where("kind = 0").select("a", "b").unionByName(close).distinct(), "tried")
+    pairs = scratch.save(prune(tried, nodes, similarity), "pairs")
+
+    best = scratch.save(pairs.groupBy("a").agg(F.min_by("b", F.struct("gap", "b")).alias("b")), "best")
+    links = similar(best, nodes, keyed, scratch, size, similarity)
     comps = scratch.save(components(links, scratch), "components")
 
+    root = lambda k: comps.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left").where(apart).select("a", "b")
     large = found.where("kind = 1").select("token", "n", F.col("a").alias("id"), F.col("b").alias("place"))
-    large = large.join(comps.withColumnRenamed("node", "id"), "id", "left").select("token", "n", "id", "place", F.coalesce("root", "id").alias("root"))
-    others = large.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(lambda it: _other_pairs(it, similarity), "a long, b long")
-    others = scratch.save(others.distinct().join(pairs, ["a", "b"], "left_anti"), "other_pairs")
+    large = large.join(root("id"), "id", "left").select("token", "n", "id", "place", F.coalesce("root_id", "id").alias("root"))
+    others = other_pairs(large, scratch, similarity).join(tried, ["a", "b"], "left_anti")
+    others = scratch.save(rest.unionByName(prune(others, nodes, similarity).select("a", "b")), "other_pairs")
     if not others.isEmpty():
         links = links.unionByName(similar(others, nodes, keyed, scratch, size, similarity))
         comps = scratch.save(components(links, scratch), "components")
+
     firsts = nodes.join(comps, nodes["id"] == comps["node"], "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
-    kept = scratch.save(firsts.select(F.col("first.f").alias("__file"), F.col("first.r").alias("__row")), "kept")
-    return keyed.join(kept.hint("shuffle_hash"), ["__file", "__row"], "left_semi").select(*docs.columns)
+    kept = scratch.save(firsts.select(F.col("first.f").alias("f"), F.col("first.r").alias("r")), "kept")
+    gone = scratch.save(places.join(kept.hint("shuffle_hash"), ["f", "r"], "left_anti"), "gone")
+    # Most rows are named by no bit of those that go, and stay where they are; only the others meet the table of what is kept.
+    bits, named = row_filter(gone)
+    sure = whole.join(bits, ~named).select("doc.*")
+    return sure.unionByName(whole.join(bits, named).join(kept.hint("shuffle_hash"), ["f", "r"], "left_semi").select("doc.*"))

@@ -19,7 +19,6 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,22 +32,31 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 FULL = 0xFFFFFFFFFFFFFFFF
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64-bit SimHash of the word shingles, repeats included; 0 where there are no words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """64-bit hashes of the word shingles in their order; a shorter text is one shingle, one without words has none."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     hashed = xxhash.xxh64_intdigest
-    h = np.array([hashed(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist())], dtype=">u8")
+    return np.array([hashed(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist())], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; 0 of none."""
     total = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 15):
-        part = h[at : at + (1 << 15)]
+    for at in range(0, len(h), 1 << 15):
+        part = h[at : at + (1 << 15)].astype(">u8")
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(total * 2 > len(h)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """64-bit SimHash of the word shingles, repeats included; 0 where there are no words."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", shingle: int = 3) -> DataFrame:
@@ -117,15 +125,15 @@ def lanes(words: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little")[:n])
 
 
-def bucket_roots(values: np.ndarray, bits: Sequence[int], radius: int = RADIUS) -> np.ndarray:
-    """For sorted distinct values that agree outside ``bits``: the smallest value of each one's component."""
+def bucket_links(values: np.ndarray, bits: Sequence[int], radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted distinct values that agree outside ``bits``: the smallest value of each one's component, and a value near it through which it was reached."""
     n, planes = len(values), planes_of(values, bits)
     words = planes.shape[1]
     zero, full = np.uint64(0), np.uint64(FULL)
     open_ = np.zeros(words * 64, np.uint8)
     open_[:n] = 1
     open_ = np.packbits(open_, bitorder="little").view(np.uint64)
-    root = np.empty(n, np.int64)
+    root, through = np.empty(n, np.int64), np.arange(n)
     for first in range(n):
         if not int(open_[first >> 6]) >> (first & 63) & 1:
             continue
@@ -141,8 +149,14 @@ def bucket_roots(values: np.ndarray, bits: Sequence[int], radius: int = RADIUS)
             if near.any():
                 open_[at] &= ~near
                 hit = lanes(near, len(at) * 64)
-                queue += (at[hit >> 6] * 64 + (hit & 63)).tolist()
-    return values[root]
+                hit = at[hit >> 6] * 64 + (hit & 63)
+                through[hit] = i
+                queue += hit.tolist()
+    return values[root], values[through]
+
+
+def bucket_roots(values: np.ndarray, bits: Sequence[int], radius: int = RADIUS) -> np.ndarray:
+    return bucket_links(values, bits, radius)[0]
 
 
 def small_links(values: np.ndarray, run: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -170,8 +184,8 @@ def small_links(values: np.ndarray, run: np.ndarray, radius: int = RADIUS) -> tu
 LINKS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _links(batches: Iterator[pa.RecordBatch], masks: Sequence[int], split: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (t, key, fp), t an index in ``masks``. kind 0: fp a and a smaller one b; kind 1: fp a of a bucket of mask b that is too large."""
+def _links(batches: Iterator[pa.RecordBatch], masks: Sequence[int], split: int, direct: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (t, key, fp), t an index in ``masks``. kind 0: fp a and another one b of its component, near it if ``direct``; kind 1: fp a of a bucket of mask b that is too large."""
 
     def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=LINKS)
@@ -189,9 +203,9 @@ def _links(batches: Iterator[pa.RecordBatch], masks: Sequence[int], split: int)
             if split and sizes[r] > split:
                 yield out(1, v, np.full(len(v), mask, np.uint64))
                 continue
-            root = bucket_roots(v, [b for b in range(64) if not mask >> b & 1])
-            if (root != v).any():
-                yield out(0, v[root != v], root[root != v])
+            other = bucket_links(v, [b for b in range(64) if not mask >> b & 1])[direct]
+            if (other != v).any():
+                yield out(0, v[other != v], other[other != v])
 
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     passing = None  # the bucket that is being handed on
@@ -221,21 +235,25 @@ def _links(batches: Iterator[pa.RecordBatch], masks: Sequence[int], split: int)
         yield from done(t, fp, np.array([0]))
 
 
-def _search(distinct: DataFrame, masks: Sequence[int], split: int) -> DataFrame:
+def _search(distinct: DataFrame, masks: Sequence[int], split: int, direct: bool) -> DataFrame:
     cells = F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks))))
     rows = distinct.select("fp", cells.alias("c")).select("c.t", "c.key", "fp")
     # As unsigned numbers the values of a bucket must ascend: the sign bit is flipped for the order.
     rows = rows.repartition("t", "key").sortWithinPartitions("t", "key", F.col("fp").bitwiseXOR(F.lit(_signed(1 << 63))))
-    return rows.mapInArrow(lambda it: _links(it, masks, split), "kind int, a long, b long")
+    return rows.mapInArrow(lambda it: _links(it, masks, split, direct), "kind int, a long, b long")
+
 
+def links_between(distinct: DataFrame, scratch: Scratch, split: int = SPLIT, direct: bool = False) -> DataFrame:
+    """Links (a, b) that join all distinct fingerprints (column fp) at 2 or fewer differing bits, directly or in steps.
 
-def links_between(distinct: DataFrame, scratch: Scratch, split: int = SPLIT) -> DataFrame:
-    """Links (a, b) that join all distinct fingerprints (column fp) at 2 or fewer differing bits, directly or in steps."""
-    found = scratch.save(_search(distinct, MASKS, split), "links")
+    With ``direct`` a and b themselves differ in 2 or fewer bits; otherwise b
+    may be the smallest of a component.
+    """
+    found = scratch.save(_search(distinct, MASKS, split, direct), "links")
     links = found.where("kind = 0").select("a", "b")
     large = [r["b"] for r in found.where("kind = 1").select("b").distinct().collect()]  # at most as many as there are masks
     for m in large:
-        again = _search(found.where((F.col("kind") == 1) & (F.col("b") == m)).select(F.col("a").alias("fp")).distinct(), sub_masks(m & FULL), 0)
+        again = _search(found.where((F.col("kind") == 1) & (F.col("b") == m)).select(F.col("a").alias("fp")).distinct(), sub_masks(m & FULL), 0, direct)
         links = links.unionByName(again.select("a", "b"))
     return scratch.save(links.distinct(), "distinct_links")
 
@@ -291,31 +309,3 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     ids = distinct.join(ids, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
     ids = scratch.save(ids, "ids")  # read from a table, so that the join below can be split at a fingerprint with many copies
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
-
-
-def with_row_key(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Adds __file and __row, which name a row of the files that ``docs`` is read from; a DataFrame of another kind is written first."""
-    try:
-        keyed = docs.withColumns({"__file": F.xxhash64(F.col("_metadata.file_path")), "__row": F.col("_metadata.row_index")})
-        keyed.schema  # noqa: B018  raises here if there is no such metadata
-        return keyed
-    except AnalysisException:
-        docs = scratch.save(docs, "documents")
-        return docs.withColumns({"__file": F.xxhash64(F.col("_metadata.file_path")), "__row": F.col("_metadata.row_index")})
-
-
-def keep_representatives(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows, with all their columns, that stand for their component: of each the one with the smallest doc_id (null last).
-
-    Rows of one doc_id in one component are told apart by their place in the
-    files, so repeated rows leave one.
-    """
-    keyed = with_row_key(docs, scratch)
-    fps = scratch.save(fingerprints(keyed.select("doc_id", "__file", "__row", "text"), ("doc_id", "__file", "__row")), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("__file").alias("f"), F.col("__row").alias("r")))
-    distinct = scratch.save(fps.groupBy("fp").agg(first.alias("first")), "distinct")
-    comps = scratch.save(components(links_between(distinct.select("fp"), scratch), scratch), "components")
-    firsts = distinct.join(comps, distinct["fp"] == comps["node"], "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    kept = scratch.save(firsts.select(F.col("first.f").alias("__file"), F.col("first.r").alias("__row")), "kept")
-    # Hashed at every size: what is kept grows with the documents, so it is never broadcast, and texts need no sorting.
-    return keyed.join(kept.hint("shuffle_hash"), ["__file", "__row"], "left_semi").select(*docs.columns)

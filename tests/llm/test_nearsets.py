@@ -1,9 +1,12 @@
 """Near duplicates by shingle sets against all pairs."""
 
 import random
+from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from somatlas.llm import nearsets
@@ -81,7 +84,51 @@ def test_stage_on_the_drivers_documents(spark):
     assert got == kept_by_all_pairs([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
 
 
-def test_odd_rows(spark):
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        whole = rng.integers(0, 2**64, rng.integers(1, 900), dtype=np.uint64)
+        a, b = (np.unique(whole[rng.random(len(whole)) < share]) for share in rng.random(2))
+        got, want = nearsets.sketches_apart(nearsets.sketch(a), nearsets.sketch(b)), len(np.setxor1d(a, b))
+        assert got <= want and (got - want) % 2 == 0
+        assert nearsets.sketches_apart(nearsets.sketch(a), nearsets.sketch(a)) == 0
+
+
+@pytest.mark.parametrize("block", [4, nearsets.BLOCK])
+def test_large_buckets_are_compared_whole(spark, monkeypatch, block):
+    """Buckets beyond what is compared at once, cut by chunks and blocks."""
+    monkeypatch.setattr(nearsets, "CHUNK", 16)
+    monkeypatch.setattr(nearsets, "NEXT", 1)
+    monkeypatch.setattr(nearsets, "SIMILARITY", (4, 5))
+    scratch, rng = Scratch(spark, "test"), random.Random(3)
+    rows = [(rng.choice([1, 1, 2, 3]), rng.randrange(20, 60), i, rng.randrange(0, 6), i // 5 if i % 3 else i) for i in range(150)]
+    large = spark.createDataFrame(rows, "token long, n long, id long, place long, root long")
+    got = {(r["a"], r["b"]) for r in nearsets.other_pairs(large, scratch, (4, 5), block).collect()}
+    want = set()
+    for x, y in combinations(rows, 2):
+        if x[0] == y[0] and x[4] != y[4] and 9 * min(x[1] - x[3], y[1] - y[3]) >= 4 * (x[1] + y[1]) and 5 * min(x[1], y[1]) >= 4 * max(x[1], y[1]):
+            want.add((max(x[2], y[2]), min(x[2], y[2])))
+    assert got == want and len(want) > 100
+
+
+@pytest.mark.parametrize("from_files", [True, False])
+def test_odd_rows(spark, from_files):
     df, rows = odd_documents(spark)
-    got = keys(nearsets.keep_representatives(df, Scratch(spark, "test")))
-    assert got == kept_by_all_pairs(rows)
+    names = ("__file", "__row", "__uid", "_metadata", "doc", "f", "bits", "h")
+    df = df.withColumns({n: F.concat(F.lit(n), F.coalesce("text", F.lit("")).substr(1, 3)) for n in names})
+    scratch = Scratch(spark, "test")
+    docs = scratch.save(df) if from_files else df
+    got = nearsets.keep_representatives(docs, scratch)
+    assert got.columns == docs.columns and keys(got) == kept_by_all_pairs(rows)
+    assert Counter(map(tuple, got.collect())) <= Counter(map(tuple, df.collect()))
+    assert nearsets.keep_representatives(docs.where("1 = 0"), scratch).count() == 0
+
+
+def test_rows_of_one_number_do_not_depend_on_their_order(spark):
+    rows = [(i % 3, f"{' '.join(map(str, range(40)))} x{i % 4}", "en", f"s{i}", i) for i in range(30)]
+    got = set()
+    for order in (rows, rows[::-1], rows[7:] + rows[:7]):
+        scratch = Scratch(spark, "test")
+        kept = nearsets.keep_representatives(scratch.save(spark.createDataFrame(order, DOCS).repartition(3)), scratch)
+        got.add(tuple(sorted(map(tuple, kept.collect()))))
+    assert len(got) == 1

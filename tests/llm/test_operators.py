@@ -532,19 +532,6 @@ def test_near_duplicates_odd_rows(spark, scratch):
     assert simhash.near_duplicates(empty(df), scratch).count() == 0
 
 
-@pytest.mark.parametrize("from_files", [True, False])
-def test_representatives(spark, scratch, from_files):
-    df, rows = odd_documents(spark)
-    got = simhash.keep_representatives(scratch.save(df) if from_files else df, scratch)
-    assert got.columns == df.columns
-    root = groups([brute_simhash(r[1]) for r in rows])
-    best = {}
-    for r in rows:
-        k = root[brute_simhash(r[1])]
-        best[k] = min(best.get(k, (True, 0)), (r[0] is None, r[0] or 0))
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == sorted(best.values())
-
-
 # ---- 10 decontamination
 
 

@@ -6,7 +6,8 @@ import corpus_pipeline
 from somatlas.llm import langid, queries, toxicity
 from somatlas.runtime import Scratch, table
 from tests.conftest import DATA
-from tests.llm.common import check_packing, contamination, groups, odd_documents, simhash
+from tests.llm.common import check_packing, contamination, odd_documents
+from tests.llm.test_nearsets import keys, kept_by_all_pairs
 from tests.llm.test_operators import brute_ids
 
 
@@ -27,13 +28,10 @@ def test_stages_on_the_drivers_tables(spark):
     docs, out = out, scratch.save(stages["toxicity"](spark, out, DATA))
     assert out.columns == columns and {r["doc_id"] for r in out.collect()} == {k for k, p in scored.items() if not p}
 
-    texts = {r["doc_id"]: r["text"] for r in out.collect()}
-    fps = {k: simhash(t) for k, t in texts.items()}
-    root, low = groups(fps.values()), {}
-    for k in sorted(texts):
-        low.setdefault(root[fps[k]], k)
+    # Stages on word shingles take five words and a similarity of 0.8, which is not op7's own rule.
+    want = kept_by_all_pairs([(r["doc_id"], r["text"]) for r in out.collect()])
     docs, out = out, scratch.save(stages["near_duplicates"](spark, out, DATA))
-    assert out.columns == columns and {r["doc_id"] for r in out.collect()} == set(low.values())
+    assert out.columns == columns and keys(out) == want
 
     texts = {r["doc_id"]: r["text"] for r in out.collect()}
     items = [(r["item_id"], r["text"]) for r in table(spark, DATA, "benchmark").collect()]
