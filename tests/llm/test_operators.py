@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from somatlas.llm import chat, decontam, langid, learning, ogg, packing, queries, revisit, sharding, simhash, tokens, toxicity, zframes
 from somatlas.runtime import Scratch, ordered_rank, table
 from tests.conftest import DATA
-from tests.llm.common import check_packing, contamination, groups, odd_documents
+from tests.llm.common import LOWER, WORD, check_packing, contamination, groups, odd_documents
 from tests.llm.common import simhash as brute_simhash
 
 PATH = queries.tokenizer_path()
@@ -586,6 +586,34 @@ def test_longest_matches(spark):
     assert sorted((r["doc_id"], r["item_id"], r["doc_word"], r["n_words"]) for r in got) == [(0, "9", 1, 25), (2, "9", 0, 40), (2, "9", 40, 40)]
 
 
+@pytest.mark.parametrize("limit", [decontam.MAX_BROADCAST, 1500])
+def test_longest_match_against_all_places(spark, scratch, limit):
+    docs, items = random_corpus(4)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r["doc_id"]: r["longest_match"] for r in decontam.report(df, items_frame(spark, items), scratch, limit).collect()}
+    texts = [[w.translate(LOWER) for w in WORD.findall(t.translate(LOWER))] for _, t in items if t]
+    for i, d in enumerate(docs):
+        w, best = WORD.findall(d.translate(LOWER)), 0
+        for t in texts:
+            size = min(13, len(t))
+            for p in range(len(w)):
+                for q in range(len(t) - size + 1) if size else ():
+                    k = 0
+                    while p + k < len(w) and q + k < len(t) and w[p + k] == t[q + k]:
+                        k += 1
+                    best = max(best, k if k >= size else 0)
+        assert got[i] == best, i
+
+
+def test_a_common_line_costs_no_row_for_each_item_and_document():
+    line = " ".join(f"k{i}" for i in range(30))
+    bench = decontam.Benchmark([(f"{i:04d}", f"a{i} b{i} {line} c{i}") for i in range(300)])
+    assert len(bench.class_items) < 2 * 300 + 2 and len(bench.first) - 1 == 18 + 300 * 3
+    shard = decontam.Shard([decontam.words_of(f"x{i} {line} a{i}") for i in range(3000)], bench)
+    assert (shard.longest(bench) == 30).all() and all(len(c) == 1 for c in shard.classes(bench))
+    assert len(shard.place) == 3000 * 18 and len(bench.items_of(shard.classes(bench)[7])) == 300
+
+
 def test_decontamination_odd_rows(spark, scratch):
     df, rows = odd_documents(spark)
     items = items_frame(spark, [(1, "quick brown fox"), (2, None), (3, ""), (None, "without a number"), (4, "lorem ipsum dolor " * 3)])
@@ -593,8 +621,10 @@ def test_decontamination_odd_rows(spark, scratch):
     assert len(got) == len(rows)
     assert got[got.n_words == 0].contaminated.sum() == 0
     assert got.contaminated.sum() == 4
-    kept = decontam.keep_uncontaminated(df, items, scratch)
-    assert kept.columns == df.columns and kept.count() == len(rows) - 4
+    clash = df.withColumns({n: F.lit(n) for n in ("__uid", "doc", "uid")})
+    for limit in (decontam.MAX_BROADCAST, 20):
+        kept = decontam.keep_uncontaminated(clash, items, scratch, limit)
+        assert kept.columns == clash.columns and kept.count() == len(rows) - 4 and kept.where("__uid <> '__uid'").count() == 0
     assert decontam.report(df, empty(items), scratch).where("contaminated or n_items > 0").count() == 0
     assert decontam.report(empty(df), items, scratch).count() == 0
 
