@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 LETTERS = re.compile(r"[^\W\d_]+")
-MAX_TEXT = 1 << 16  # examples of more bytes are not learned from, which bounds the sample's size
+EXCERPT = 1 << 16  # characters, about, of a longer example that are learned from: evenly spread pieces of it
+PIECES = 16
 
 
 def held_out(key: Column) -> Column:
@@ -23,14 +24,15 @@ def held_out(key: Column) -> Column:
 def bounded_sample(rows: DataFrame, label: str, key: str, cap: int, max_labels: int | None = 64, total: int | None = None) -> DataFrame:
     """At most ``cap`` keys of each of the ``max_labels`` most frequent labels: the first by a hash of the key.
 
-    ``rows`` is columns of keys and labels alone. A label's count tells which
-    share of the hash's range holds about four times ``cap`` rows; only those
-    are made distinct and ranked, so a label with most of the rows costs no
-    more than another. Where most rows are repeated the sample is smaller.
+    ``rows`` is columns of keys and labels alone; repeated rows count once. A
+    label's number of distinct keys, by a sketch, tells which share of the
+    hash's range holds about four times ``cap`` of them; only those are made
+    distinct and ranked, so a label with most of the rows costs no more than
+    another.
     Without ``max_labels`` all labels are taken, and ``cap`` is lowered, to 1 at
     least, until all of them together have at most ``total`` rows.
     """
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label)
+    counts = rows.groupBy(label).agg(F.approx_count_distinct(key).alias("count")).orderBy(F.desc("count"), label)
     counts = (counts if max_labels is None else counts.limit(max_labels)).collect()
     if total is not None:
         cap = level([r["count"] for r in counts], cap, total)
@@ -57,12 +59,19 @@ def level(counts: list[int], cap: int, total: int) -> int:
     return low
 
 
+def excerpt(text: Column) -> Column:
+    """The text, or of one that is longer than EXCERPT evenly spread pieces that are about that long together."""
+    step, size = F.expr(f"(char_length(text) - {EXCERPT // PIECES}) / {PIECES - 1}"), EXCERPT // PIECES
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substr(text, F.floor(step * i).cast("int") + 1, F.lit(size)))
+    return F.when(F.char_length(text) <= EXCERPT, text).otherwise(F.array_join(pieces, " "))
+
+
 def sampled_texts(docs: DataFrame, picked: DataFrame, label: str) -> DataFrame:
-    """doc_id, label and text of the picked keys that have a text short enough; of several texts of one key, the smallest.
+    """doc_id, label and text of the picked keys; of several texts of one key, the smallest. Long ones are excerpts, which bounds the sample's size.
 
     ``picked`` is a bounded sample, which is what is broadcast.
     """
-    texts = docs.where(F.octet_length("text") <= MAX_TEXT).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", label, excerpt(F.col("text")).alias("text"))
     return texts.groupBy("doc_id", label).agg(F.min("text").alias("text"))
 
 
