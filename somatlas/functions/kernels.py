@@ -37,7 +37,7 @@ def linear_decay(start: float, end: float, max_iter: int, t: float) -> float:
     return start * (1.0 - r) + end * r
 
 
-def exponential_decay(start: float, end: float, max_iter: int, t: float, rate: float) -> float:
+def exponential_decay(start: float, end: float, t: float, rate: float) -> float:
     return end + (start - end) * math.exp(-rate * t)
 
 
@@ -48,7 +48,7 @@ def sigma_at(epoch: int, n_neurons: int, n_iter: int, coarse_frac: float, coarse
     if not coarse:
         return s1
     t = epoch / coarse_frac
-    return linear_decay(s0, s1, n_iter, t) if decay == "linear" else exponential_decay(s0, s1, n_iter, t, rate)
+    return linear_decay(s0, s1, n_iter, t) if decay == "linear" else exponential_decay(s0, s1, t, rate)
 
 
 def growing_threshold(method: str, criterion: str, spreading_factor: float, n_features: int, std: np.ndarray) -> float:

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from somatlas.functions.kernels import normal_pdf_col, sample_weight_col
+from somatlas.operators.assign import matrix
+from somatlas.runtime import ship_package
 
 
 def neuron_totals(assigned: DataFrame, neurons: DataFrame) -> DataFrame:
@@ -21,20 +27,76 @@ def mean_error(assigned: DataFrame) -> DataFrame:
     return assigned.agg(F.avg("distance").alias("quantization_error"))
 
 
+def partial_moments(samples: DataFrame, features: str = "features") -> DataFrame:
+    """part, dim, n, mean, m2, lo, hi: each task's moments of each feature, gathered batch by batch; a row for each task and feature."""
+    ship_package(samples.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, mean, m2, lo, hi = 0, 0.0, 0.0, np.inf, -np.inf
+        for b in batches:
+            x = matrix(b.column(0))
+            if not len(x):
+                continue
+            new, bm = n + len(x), x.mean(0)
+            if n and len(bm) != len(mean):
+                raise ValueError("feature vectors differ in length")
+            mean, m2, n = *joined(n, mean, m2, len(x), bm, ((x - bm) ** 2).sum(0)), new
+            lo, hi = np.minimum(lo, x.min(0)), np.maximum(hi, x.max(0))
+        if n:
+            part, k = TaskContext.get().partitionId(), len(mean)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, part, np.int32)), pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, n)), *map(pa.array, (mean, m2, lo, hi))], names=["part", "dim", "n", "mean", "m2", "lo", "hi"])
+
+    return samples.select(F.col(features).cast("array<double>")).mapInArrow(run, "part int, dim int, n long, mean double, m2 double, lo double, hi double")
+
+
+def joined(n: int, mean, m2, k: int, other, other_m2) -> tuple:
+    """Mean and sum of squared deviations of two sets together (Chan and others, 1983): no large numbers are subtracted."""
+    gap = other - mean
+    return mean + gap * (k / (n + k)), m2 + other_m2 + gap * gap * (n * k / (n + k))
+
+
 def feature_moments(samples: DataFrame) -> DataFrame:
-    """dim, std_samp and var_pop of each feature, combined in each task before rows move."""
-    return samples.select(F.posexplode("features").alias("dim", "v")).groupBy("dim").agg(F.stddev_samp("v").alias("std_samp"), F.var_pop("v").alias("var_pop"), F.avg("v").alias("mean"))
+    """dim, n, mean, var_pop, std_samp, lo, hi of each feature.
+
+    The tasks' moments meet around the mean of all, not by differences of
+    squares, so features far from 0 keep their variance. One shuffle, by dim.
+    """
+    all_ = Window.partitionBy("dim")  # a row for each task
+    parts = partial_moments(samples).withColumn("total", F.sum("n").over(all_)).withColumn("center", F.sum(F.col("mean") * F.col("n") / F.col("total")).over(all_))
+    gap = F.col("mean") - F.col("center")
+    merged = parts.groupBy("dim", F.col("total").alias("n"), F.col("center").alias("mean")).agg(F.sum(F.col("m2") + F.col("n") * gap * gap).alias("m2"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return merged.select("dim", "n", "mean", (F.col("m2") / F.col("n")).alias("var_pop"), F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))).alias("std_samp"), "lo", "hi")
 
 
 def total_variance(samples: DataFrame) -> DataFrame:
     return feature_moments(samples).agg(F.sum("var_pop").alias("total_variance"))
 
 
-def centers(samples: DataFrame, assigned: DataFrame, weight: Column | None = None) -> DataFrame:
-    """neuron_id, dim, value: the weighted mean of each neuron's samples; ``assigned`` carries the samples' features."""
+def centers(assigned: DataFrame, weight: Column | None = None) -> DataFrame:
+    """neuron_id, dim, value and hit_count: the weighted mean of each neuron's samples, and how many they are; ``assigned`` carries the samples' features.
+
+    Each task adds up its samples by neuron, so what moves is a table of the map's size from each task.
+    """
+    ship_package(assigned.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, w, x = np.asarray(b.column(0)), np.asarray(b.column(1)), matrix(b.column(2))
+            rows, at = np.unique(ids, return_inverse=True)
+            hot = np.zeros((len(rows), len(x)))
+            hot[at, np.arange(len(x))] = w
+            for i, s in zip(rows.tolist(), np.hstack([hot @ x, hot.sum(1, keepdims=True), np.bincount(at)[:, None]])):
+                total[i] = total[i] + s if i in total else s
+        for i, s in total.items():
+            k = len(s) - 2
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, i, np.int32)), pa.array(np.arange(k, dtype=np.int32)), *map(pa.array, (s[:k], np.full(k, s[k]), np.full(k, int(s[k + 1]))))], names=["neuron_id", "dim", "wx", "w", "n"])
+
     w = F.lit(1.0) if weight is None else weight
-    long = assigned.withColumn("__w", w).select("neuron_id", "__w", F.posexplode("features").alias("dim", "v"))
-    return long.groupBy("neuron_id", "dim").agg((F.sum(F.col("__w") * F.col("v")) / F.sum("__w")).alias("value"))
+    parts = assigned.select("neuron_id", w.cast("double").alias("w"), F.col("features").cast("array<double>")).mapInArrow(run, "neuron_id int, dim int, wx double, w double, n long")
+    return parts.groupBy("neuron_id", "dim").agg((F.sum("wx") / F.sum("w")).alias("value"), F.sum("n").alias("hit_count"))
 
 
 def weighted(assigned: DataFrame, samples: DataFrame) -> DataFrame:

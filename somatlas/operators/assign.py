@@ -36,11 +36,14 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def assign(samples: DataFrame, codebook: np.ndarray, k: int = 1, metric: str = "euclidean", features: str = "features", p: float = 2.0) -> DataFrame:
-    """All columns of ``samples`` but the features, with neuron_id and distance (k=2: second_id and second_distance too). No shuffle."""
+    """All columns of ``samples`` but the features, with neuron_id and distance (k=2: second_id and second_distance too). No shuffle.
+
+    Columns of these names are replaced, as by ``withColumn``.
+    """
     ship_package(samples.sparkSession)
     w = samples.sparkSession.sparkContext.broadcast(np.ascontiguousarray(codebook, dtype=np.float64))
-    kept = [c for c in samples.columns if c != features]
     added = ["neuron_id", "distance", "second_id", "second_distance"][: 2 * k]
+    kept = [c for c in samples.columns if c not in (features, *added)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -60,7 +63,9 @@ def codebook_row(neurons: DataFrame) -> DataFrame:
 
 def assign_expr(samples: DataFrame, neurons: DataFrame, k: int = 1, metric: str = "euclidean") -> DataFrame:
     """As ``assign``, by expressions: the codebook is one row, so its broadcast is as large as the map."""
-    out = samples.crossJoin(F.broadcast(codebook_row(neurons))).withColumn("near", nearest(F.col("features"), F.col("codebook"), k, metric))
     names = (("neuron_id", "distance"), ("second_id", "second_distance"))[:k]
+    kept = [c for c in samples.columns if c != "features" and c not in {n for pair in names for n in pair}]
+    slim = samples.select(F.struct(*kept, F.lit(0).alias("_")).alias("sample"), "features")
+    out = slim.crossJoin(F.broadcast(codebook_row(neurons))).withColumn("near", nearest(F.col("features"), F.col("codebook"), k, metric))
     cols = [c for i, (a, b) in enumerate(names) for c in (F.col("near")[i]["id"].alias(a), F.col("near")[i]["d"].alias(b))]
-    return out.select(*(c for c in samples.columns if c != "features"), *cols)
+    return out.select(*(F.col(f"sample.`{c}`") for c in kept), *cols)

@@ -10,6 +10,9 @@ from pyspark.sql.window import Window
 
 from somatlas.functions.distance import norm
 from somatlas.operators.aggregates import feature_moments
+from somatlas.runtime import Scratch, ordered_rank
+
+MAX_DONORS = 1 << 20  # values of all donors that are sent to every task
 
 
 def l2_normalize(features: Column) -> Column:
@@ -18,39 +21,49 @@ def l2_normalize(features: Column) -> Column:
     return F.transform(features, lambda v: F.when(size > 0, v / size).otherwise(v))
 
 
-def _moments_row(samples: DataFrame) -> DataFrame:
-    m = feature_moments(samples).agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "var_pop"))).alias("m"))  # one row as wide as a sample
-    return F.broadcast(m)
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of the table has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def _by_moments(samples: DataFrame, scale) -> DataFrame:
+    """Features by ``scale``(value, moments of the feature); the moments are one row as wide as a sample, from one pass."""
+    m = free_name(samples, "moments")
+    row = feature_moments(samples).agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "var_pop", "lo", "hi"))).alias(m))
+    return samples.crossJoin(F.broadcast(row)).withColumn("features", F.zip_with("features", m, scale)).drop(m)
 
 
 def standardize(samples: DataFrame, center: bool = True) -> DataFrame:
     """Features over their population deviation, less their mean if ``center``; constant features are divided by 1."""
-    scaled = F.zip_with("features", "m", lambda v, s: (v - (s["mean"] if center else F.lit(0.0))) / F.when(s["var_pop"] > 0, F.sqrt(s["var_pop"])).otherwise(1.0))
-    return samples.crossJoin(_moments_row(samples)).withColumn("features", scaled).drop("m")
+    return _by_moments(samples, lambda v, s: (v - (s["mean"] if center else F.lit(0.0))) / F.when(s["var_pop"] > 0, F.sqrt(s["var_pop"])).otherwise(1.0))
 
 
 def min_max(samples: DataFrame) -> DataFrame:
     """Features to 0..1 of their range; constant ones become 0."""
-    ends = samples.select(F.posexplode("features").alias("dim", "v")).groupBy("dim").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    row = F.broadcast(ends.agg(F.array_sort(F.collect_list(F.struct("dim", "lo", "hi"))).alias("m")))
-    scaled = F.zip_with("features", "m", lambda v, s: F.when(s["hi"] > s["lo"], (v - s["lo"]) / (s["hi"] - s["lo"])).otherwise(0.0))
-    return samples.crossJoin(row).withColumn("features", scaled).drop("m")
+    return _by_moments(samples, lambda v, s: F.when(s["hi"] > s["lo"], (v - s["lo"]) / (s["hi"] - s["lo"])).otherwise(0.0))
 
 
 def frequent_categories(df: DataFrame, column: str, max_categories: int = 10) -> DataFrame:
-    """category, slot: the most frequent values (ties in order) in slots from 0; if there are more than ``max_categories``, the last slot is for all others."""
+    """category, slot: the most frequent values (ties in order) in slots from 0; if there are more than ``max_categories``, the last slot is for all others.
+
+    Each task keeps its first ``max_categories`` + 1 values; no task sorts all of them.
+    """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("category")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.withColumn("slot", F.row_number().over(Window.orderBy(F.col("n").desc(), "category")) - 1)
-    total = counts.agg(F.count(F.lit(1)).alias("total"))
-    return ranked.crossJoin(F.broadcast(total)).where((F.col("total") <= max_categories) | (F.col("slot") < max_categories - 1)).select("category", "slot")
+    top = counts.orderBy(F.col("n").desc(), "category").limit(max_categories + 1)
+    ranked = top.withColumn("slot", F.row_number().over(Window.orderBy(F.col("n").desc(), "category")) - 1).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    return ranked.where((F.col("total") <= max_categories) | (F.col("slot") < max_categories - 1)).select("category", "slot")
 
 
 def one_hot(df: DataFrame, column: str, max_categories: int = 10) -> DataFrame:
-    """Adds <column>_slot: the category's slot, or the slot for infrequent and unknown values."""
-    slots = frequent_categories(df, column, max_categories)
-    n = slots.agg(F.count(F.lit(1)).alias("__n"))
-    out = df.join(F.broadcast(slots.withColumnRenamed("category", column)), column, "left").crossJoin(F.broadcast(n))
-    return out.withColumn(f"{column}_slot", F.coalesce("slot", F.col("__n")).cast("int")).drop("slot", "__n")
+    """Adds <column>_slot: the category's slot, or the slot for infrequent and unknown values. The slots are at most ``max_categories`` rows."""
+    slot, n, category = (free_name(df, x) for x in ("slot", "n_slots", "category"))
+    slots = frequent_categories(df, column, max_categories).select(F.col("category").alias(category), F.col("slot").alias(slot))
+    rows = slots.agg(F.count(F.lit(1)).alias(n))
+    out = df.join(F.broadcast(slots), df[column] == slots[category], "left").crossJoin(F.broadcast(rows))
+    return out.withColumn(f"{column}_slot", F.coalesce(slot, F.col(n)).cast("int")).drop(slot, n, category)
 
 
 def assemble(df: DataFrame, columns: Sequence[str], name: str = "features") -> DataFrame:
@@ -76,8 +89,12 @@ def impute_nearest(df: DataFrame, key: str, columns: Sequence[str], donors: Data
     """Nulls become the mean of the k nearest donors' values, by the distance over the columns that both have.
 
     ``donors`` is a table of bounded size (a sample, or prototypes) and is
-    sent to every task; ``df`` does not move.
+    sent to every task; ``df`` does not move. More than MAX_DONORS values
+    raise an error.
     """
+    rows = donors.count()
+    if rows * len(columns) > MAX_DONORS:
+        raise ValueError(f"{rows} donors of {len(columns)} columns are more than {MAX_DONORS} values: give a sample or a map's prototypes")
     pool = F.broadcast(donors.agg(F.collect_list(F.struct(*(F.col(c).cast("double").alias(c) for c in columns))).alias("__pool")))
     n = len(columns)
 
@@ -95,10 +112,19 @@ def impute_nearest(df: DataFrame, key: str, columns: Sequence[str], donors: Data
 
 
 def stratified_split(df: DataFrame, stratum: str, key: str, test_share: float, seed: int = 0) -> DataFrame:
-    """Adds is_test: in each stratum the share of rows that come first by a hash of the key, rounded up."""
-    order = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key))
-    size = Window.partitionBy(stratum)
-    return df.withColumn("is_test", F.row_number().over(order) <= F.ceil(F.count(F.lit(1)).over(size) * test_share))
+    """Adds is_test: in each stratum the share of rows that come first by a hash of the key, rounded up.
+
+    Rows are ranked over all strata by a range exchange, so a stratum with
+    most of the rows is no task of its own; a row for each stratum then tells
+    where it begins and how many of its rows are for testing.
+    """
+    scratch = Scratch(df.sparkSession, "split")
+    rank = free_name(df, "__rank")
+    ranked = ordered_rank(scratch, df, [F.col(stratum), F.xxhash64(F.lit(seed), F.col(key)), F.col(key)], "ranked", rank=rank)
+    s, n, low = (free_name(df, x) for x in ("stratum", "rows", "low"))
+    sizes = ranked.groupBy(F.col(stratum).alias(s)).agg(F.count(F.lit(1)).alias(n), F.min(rank).alias(low))
+    out = ranked.join(sizes, F.col(stratum).eqNullSafe(F.col(s)))
+    return out.withColumn("is_test", F.col(rank) - F.col(low) < F.ceil(F.col(n) * test_share)).drop(rank, s, n, low)
 
 
 def map_values(column: Column, values: Mapping, default=None) -> Column:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,8 @@ from somatlas.plans.model import FittedMaps, Vertical, attach, features_column,
 from somatlas.plans.training import Settings, SparkSamples, train
 from somatlas.runtime import ship_package
 
-CHILD_SAMPLES = 200_000  # a child map of more samples is trained over the cluster, not in one task
+CHILD_CELLS = 4_000_000  # a child map of more samples x features is trained over the cluster, not in one task
+MAX_CLASSES = 100_000  # classes, each of which is a number a neuron
 
 
 def _optional_float(v):
@@ -65,6 +67,7 @@ class MapParams(Params):
     interiorBlocksGrowth = _param("interiorBlocksGrowth", "an inner neuron above the threshold ends the growth pass", _BOOL)
     removeDeadNeurons = _param("removeDeadNeurons", "neurons without samples leave the fitted map", _BOOL)
     probabilityMode = _param("probabilityMode", "mixture or bmu", _STR)
+    cacheSamples = _param("cacheSamples", "store the samples in the executors while training over the cluster; by default each epoch reads them again", _BOOL)
     localCells = _param("localCells", "samples x features up to which training gathers the samples in the driver's memory", _INT)
 
     def __init__(self, **given):
@@ -72,7 +75,7 @@ class MapParams(Params):
         self._setDefault(
             featuresCol="features", idCol="id", labelCol="label", predictionCol="prediction", probabilityCol="probabilities", nIter=200, convergenceIter=1, spreadingFactor=0.5, sigmaStart=None, sigmaEnd=None, verticalGrowth=False,
             decayFunction="exponential", learningRate=0.02, verbose=False, coarseTrainingFrac=0.5, seed=None, convergenceThreshold=1e-5, maxNeurons=100, metric="euclidean", thresholdMethod="se", growthCriterion="quantization_error",
-            minSamplesVerticalGrowth=100, maxDepth=3, sampleWeighting="exponential", topologyNeighborhood=8, uMatrix="local", interiorBlocksGrowth=False, removeDeadNeurons=True, probabilityMode="mixture", localCells=4_000_000,
+            minSamplesVerticalGrowth=100, maxDepth=3, sampleWeighting="exponential", topologyNeighborhood=8, uMatrix="local", interiorBlocksGrowth=False, removeDeadNeurons=True, probabilityMode="mixture", cacheSamples=False, localCells=4_000_000,
         )
         self.setParams(**given)
 
@@ -94,7 +97,7 @@ class MapParams(Params):
         )
 
 
-class _MapEstimator(Estimator, MapParams):
+class _MapEstimator(Estimator, MapParams, DefaultParamsReadable, DefaultParamsWritable):
     labelled = False
 
     def _samples(self, df: DataFrame) -> tuple[DataFrame, list | None]:
@@ -114,7 +117,9 @@ class _MapEstimator(Estimator, MapParams):
         self._cells = sizes["n"] * sizes["most"]
         if not self.labelled:
             return out, None
-        classes = [r[0] for r in out.select("label").distinct().orderBy("label").collect()]
+        classes = [r[0] for r in out.select("label").distinct().orderBy("label").limit(MAX_CLASSES + 1).collect()]
+        if len(classes) > MAX_CLASSES:
+            raise ValueError(f"more than {MAX_CLASSES} classes")
         index = df.sparkSession.createDataFrame(list(zip(classes, range(len(classes)))), f"label {out.schema['label'].dataType.simpleString()}, class_index int")
         return out.join(F.broadcast(index), "label").select("id", "features", "class_index"), classes
 
@@ -137,7 +142,7 @@ class _MapEstimator(Estimator, MapParams):
         return self._copyValues(GrowingMapModel(fitted))
 
     def _fit_spark(self, samples: DataFrame, n_classes: int, s: Settings, vertical: Vertical | None, depth: int = 0) -> list:
-        data = SparkSamples(samples, n_classes)
+        data = SparkSamples(samples, n_classes, self.value("cacheSamples"))
         try:
             state = state_of(train(data, s), lambda grid, sigma: summarise_spark(data.df, n_classes, grid, s, sigma), s)
             maps = [state]
@@ -151,10 +156,10 @@ class _MapEstimator(Estimator, MapParams):
         """Child maps: those of bounded size side by side, one group a task; larger ones over the cluster, one by one."""
         state = maps[0]
         wanted = parents(state, vertical)
-        small = [i for i in wanted if state.hits[i] <= CHILD_SAMPLES]
+        small = [i for i in wanted if state.hits[i] * state.metrics["n_features"] <= CHILD_CELLS]
         at = FittedMaps(samples.sparkSession, [state], s).assign(samples)
 
-        def fit_child(key, group: pd.DataFrame) -> pd.DataFrame:
+        def fit_child(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
             x, y = _gather(group.sort_values("id"), n_classes)
             return pd.DataFrame({"neuron_id": [key[0]], "maps": [pickle.dumps(fit_local(x, y, n_classes, s, vertical, depth + 1))]})
 
@@ -190,8 +195,34 @@ class GrowingMapClassifier(_MapEstimator):
     labelled = True
 
 
-class GrowingMapModel(Model, MapParams):
-    """A fitted map. ``maps`` holds it; the methods below work on DataFrames of samples."""
+class _ModelWriter(MLWriter):
+    def __init__(self, instance: GrowingMapModel):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession)
+        self.instance.save_maps(f"{path}/maps")
+
+
+class _ModelReader(MLReader):
+    def load(self, path: str) -> GrowingMapModel:
+        meta = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = GrowingMapModel.load_maps(self.sparkSession, f"{path}/maps")
+        model._resetUid(meta["uid"])
+        DefaultParamsReader.getAndSetParams(model, meta)
+        return model
+
+
+class GrowingMapModel(Model, MapParams, MLReadable, MLWritable):
+    """A fitted map. ``maps`` holds it; the methods below work on DataFrames of samples. It is saved alone or as a pipeline's stage."""
+
+    def write(self) -> MLWriter:
+        return _ModelWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ModelReader()
 
     def __init__(self, maps: FittedMaps | None = None):
         super().__init__()

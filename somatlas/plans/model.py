@@ -161,6 +161,13 @@ class FittedMaps:
     def __init__(self, spark: SparkSession, maps: list[MapState], settings: Settings, classes: list | None = None, probability_mode: str = "mixture"):
         self.spark, self.maps, self.settings, self.classes, self.probability_mode = spark, maps, settings, classes, probability_mode
 
+    @classmethod
+    def of_codebook(cls, spark: SparkSession, cells: list[tuple[int, int]], weights: np.ndarray, settings: Settings | None = None) -> FittedMaps:
+        """A map of given prototypes, for what needs no training: nearest neurons, errors, mixtures."""
+        k = len(cells)
+        zero = np.zeros(k)
+        return cls(spark, [MapState(list(cells), np.asarray(weights, float), [0] * k, zero, zero, np.zeros(k, np.int64), zero, [None] * k, np.zeros((k, 0)), [None] * k, {})], settings or Settings())
+
     @property
     def root(self) -> MapState:
         return self.maps[0]

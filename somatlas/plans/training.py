@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from somatlas.functions.distance import nearest_rows
 from somatlas.functions.kernels import growing_threshold, neighbourhood, sample_weight, sigma_at
+from somatlas.operators.aggregates import feature_moments
 from somatlas.operators.assign import matrix
 from somatlas.operators.growth import GrowingMap
 from somatlas.runtime import Scratch, ordered_rank
@@ -70,7 +71,11 @@ class Settings:
 
 @dataclass
 class Sums:
-    """By neuron: samples, weights, weighted features, features, distances, and samples of each class."""
+    """By neuron: samples, weights, weighted features, features, distances, and samples of each class.
+
+    Features are summed as differences to ``base``, the weights of the epoch,
+    so that those far from 0 lose no digits.
+    """
 
     n: np.ndarray
     w: np.ndarray
@@ -78,10 +83,12 @@ class Sums:
     x: np.ndarray
     d: np.ndarray
     classes: np.ndarray
+    base: np.ndarray | float = 0.0
 
     @classmethod
-    def zero(cls, k: int, dim: int, c: int) -> Sums:
-        return cls(np.zeros(k), np.zeros(k), np.zeros((k, dim)), np.zeros((k, dim)), np.zeros(k), np.zeros((k, c)))
+    def zero(cls, weights: np.ndarray, c: int) -> Sums:
+        k, dim = weights.shape
+        return cls(np.zeros(k), np.zeros(k), np.zeros((k, dim)), np.zeros((k, dim)), np.zeros(k), np.zeros((k, c)), weights)
 
     def add(self, x: np.ndarray, y: np.ndarray | None, weights: np.ndarray, s: Settings, variance: float) -> None:
         if not len(x):
@@ -95,6 +102,7 @@ class Sums:
         self.d += np.bincount(ids, d, minlength=k)
         hot = np.zeros((k, len(x)))
         hot[ids, np.arange(len(x))] = 1.0
+        x = x - weights[ids]
         self.x += hot @ x
         self.wx += hot @ (x * w[:, None])
         if y is not None and self.classes.shape[1]:
@@ -104,13 +112,14 @@ class Sums:
         return np.hstack([self.n[:, None], self.w[:, None], self.d[:, None], self.wx, self.x, self.classes])
 
     @classmethod
-    def of(cls, t: np.ndarray, dim: int) -> Sums:
-        return cls(t[:, 0], t[:, 1], t[:, 3 : 3 + dim], t[:, 3 + dim : 3 + 2 * dim], t[:, 2], t[:, 3 + 2 * dim :])
+    def of(cls, t: np.ndarray, base: np.ndarray) -> Sums:
+        dim = base.shape[1]
+        return cls(t[:, 0], t[:, 1], t[:, 3 : 3 + dim], t[:, 3 + dim : 3 + 2 * dim], t[:, 2], t[:, 3 + 2 * dim :], base)
 
     def centers(self) -> np.ndarray:
-        """Weighted means; plain means where all weights have vanished; rows without samples stay 0."""
+        """Weighted means; plain means where all weights have vanished; rows without samples stay at the base."""
         plain = self.x / np.maximum(self.n, 1)[:, None]
-        return np.where((self.w > 0)[:, None], self.wx / np.where(self.w > 0, self.w, 1)[:, None], plain)
+        return self.base + np.where((self.w > 0)[:, None], self.wx / np.where(self.w > 0, self.w, 1)[:, None], plain)
 
     def entropy(self) -> np.ndarray:
         p = self.classes / np.maximum(self.classes.sum(1, keepdims=True), 1)
@@ -140,7 +149,7 @@ class LocalSamples:
         return self.x[ranks]
 
     def epoch(self, weights: np.ndarray, s: Settings, variance: float) -> Sums:
-        out = Sums.zero(len(weights), self.x.shape[1], self.n_classes)
+        out = Sums.zero(weights, self.n_classes)
         for at in range(0, len(self.x), 8192):
             out.add(self.x[at : at + 8192], None if self.y is None else self.y[at : at + 8192], weights, s, variance)
         return out
@@ -150,38 +159,21 @@ class LocalSamples:
 
 
 class SparkSamples:
-    """Samples as a table id, features and, if they are labelled, class_index."""
+    """Samples as a table id, features and, if they are labelled, class_index. Every epoch reads it again; ``keep`` has the executors store it."""
 
-    def __init__(self, df: DataFrame, n_classes: int = 0):
-        self.spark, self.n_classes = df.sparkSession, n_classes
-        self.df = df.persist(StorageLevel.MEMORY_AND_DISK)  # every epoch reads it again
+    def __init__(self, df: DataFrame, n_classes: int = 0, keep: bool = False):
+        self.spark, self.n_classes, self.keep = df.sparkSession, n_classes, keep
+        self.df = df.persist(StorageLevel.MEMORY_AND_DISK) if keep else df
 
     def moments(self) -> Moments:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, mean, m2 = 0, 0.0, 0.0
-            for b in batches:
-                x = matrix(b.column(0))
-                if not len(x):
-                    continue
-                if not np.isfinite(x).all():
-                    raise ValueError("features must be finite numbers")
-                new, bm, bv = n + len(x), x.mean(0), ((x - x.mean(0)) ** 2).sum(0)
-                delta = bm - mean
-                mean, m2 = mean + delta * len(x) / new, m2 + bv + delta**2 * n * len(x) / new
-                n = new
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([mean.tolist()]), pa.array([m2.tolist()])], names=["n", "mean", "m2"])
-
-        parts = self.df.select("features").mapInArrow(run, "n long, mean array<double>, m2 array<double>")
-        long = parts.select("n", F.posexplode(F.arrays_zip("mean", "m2")).alias("dim", "v"))
-        total = long.groupBy("dim").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("v.mean")) / F.sum("n")).alias("mean"), F.sum(F.col("v.m2") + F.col("n") * F.col("v.mean") * F.col("v.mean")).alias("square"))
-        rows = total.orderBy("dim").collect()
+        rows = feature_moments(self.df).orderBy("dim").collect()
         if not rows:
             return Moments(0, np.empty(0), np.empty(0))
         if len({r["n"] for r in rows}) > 1:
             raise ValueError("feature vectors differ in length")
-        n, mean = rows[0]["n"], np.array([r["mean"] for r in rows])
-        return Moments(n, mean, np.maximum(0.0, np.array([r["square"] for r in rows]) / n - mean**2))
+        if not np.isfinite([[r["lo"], r["hi"]] for r in rows]).all():
+            raise ValueError("features must be finite numbers")
+        return Moments(rows[0]["n"], np.array([r["mean"] for r in rows]), np.array([r["var_pop"] for r in rows]))
 
     def rows(self, ranks: np.ndarray) -> np.ndarray:
         """The samples at these places in the order of the ids."""
@@ -197,7 +189,7 @@ class SparkSamples:
         columns = ["features", "class_index"][: 1 + bool(n_classes)]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = Sums.zero(k, dim, n_classes)
+            sums = Sums.zero(w.value, n_classes)
             for b in batches:
                 for at in range(0, b.num_rows, 8192):
                     part = b.slice(at, 8192)
@@ -214,10 +206,11 @@ class SparkSamples:
         for r in sorted(parts.collect(), key=lambda r: (r["part"], r["neuron_id"])):
             total[r["neuron_id"]] += r["sums"]
         w.unpersist()
-        return Sums.of(total, dim)
+        return Sums.of(total, weights)
 
     def close(self) -> None:
-        self.df.unpersist()
+        if self.keep:
+            self.df.unpersist()
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,8 @@ from somatlas.operators import aggregates as agg
 from somatlas.operators import evaluate, prep, topology
 from somatlas.operators.assign import assign, assign_expr
 from somatlas.plans.estimators import GrowingMapClassifier, GrowingMapClusterer
+from somatlas.plans.model import FittedMaps
+from somatlas.plans.training import SparkSamples
 from somatlas.runtime import Scratch, ship_package, table
 from somatlas.sources.readers import read_csv, read_embeddings
 from somatlas.streaming.scoring import hits_by_window, score_stream
@@ -77,7 +80,7 @@ def _weighted(spark, d):
 
 
 def _centers(spark, d):
-    return agg.centers(samples(spark, d), _weighted(spark, d), F.col("sample_weight"))
+    return agg.centers(_weighted(spark, d), F.col("sample_weight"))
 
 
 KERNEL_SIGMA = 1.0
@@ -89,7 +92,7 @@ def _kernel(spark, d):
 
 def _epoch(spark, d):
     """neuron_id, dim, value: the codebook after one epoch from the fixed one."""
-    mass = _centers(spark, d).join(F.broadcast(_totals(spark, d)), "neuron_id").select(F.col("neuron_id").alias("j"), "dim", "value", F.col("hit_count").cast("double").alias("n"))
+    mass = _centers(spark, d).select(F.col("neuron_id").alias("j"), "dim", "value", F.col("hit_count").cast("double").alias("n"))
     near = mass.join(F.broadcast(_kernel(spark, d)), "j")
     return near.groupBy(F.col("i").alias("neuron_id"), "dim").agg((F.sum(F.col("h") * F.col("n") * F.col("value")) / F.sum(F.col("h") * F.col("n"))).alias("value"))
 
@@ -174,10 +177,6 @@ def train_vq_distributed(spark, d):
     return tidy(n.select("neuron_id", "x", "y", "hit_count", "error", "average_distance", "density", "epoch_created"))
 
 
-def train_vq_hits(spark, d):
-    return fit_clusterer(spark, d, nIter=10).nodes().agg(F.sum("hit_count").alias("n"))
-
-
 def train_classifier(spark, d):
     model = GrowingMapClassifier(nIter=20, spreadingFactor=0.9, seed=0).fit(samples(spark, d))
     return tidy(model.transform(samples(spark, d)).select("id", "label", "prediction"))
@@ -193,13 +192,62 @@ def project_nnls(spark, d):
     return tidy(out.select("id", F.posexplode("coefficients").alias("neuron_id", "coefficient")).where("coefficient > 0"))
 
 
+# A low threshold and small maps, so that neurons stay above 1.5 thresholds and get child maps.
+HIERARCHY = {"nIter": 8, "spreadingFactor": 0.95, "thresholdMethod": "classical", "maxNeurons": 6, "verticalGrowth": True, "minSamplesVerticalGrowth": 20, "maxDepth": 2, "seed": 0}
+# Two epochs of four neurons: a fit that can be written down in SQL.
+TWO_EPOCHS = {"nIter": 2, "maxNeurons": 4, "topologyNeighborhood": 4, "seed": 0}
+
+
+def two_epoch_map(spark, d, **given):
+    n = fit_clusterer(spark, d, **(TWO_EPOCHS | given)).nodes()
+    return tidy(n.select("neuron_id", "x", "y", "hit_count", "error", "average_distance", F.posexplode("weight").alias("dim", "value")))
+
+
+def two_epoch_metrics(spark, d):
+    m = fit_clusterer(spark, d, **TWO_EPOCHS).metrics
+    return tidy(spark.createDataFrame([(m["quantization_error"], m["topographic_error"], m["total_variance"], m["n_samples"], m["n_features"])], "quantization_error double, topographic_error double, total_variance double, n_samples long, n_features long"))
+
+
+def two_epoch_round_trip(spark, d):
+    """The fitted map saved as a pipeline's stage, loaded and applied."""
+    path = f"{Scratch(spark, 'pipeline').path}/model"
+    Pipeline(stages=[GrowingMapClusterer(**TWO_EPOCHS)]).fit(samples(spark, d)).write().overwrite().save(path)
+    return tidy(PipelineModel.load(path).transform(samples(spark, d)).select("id", "prediction"))
+
+
+def two_epoch_classes(spark, d, column):
+    model = GrowingMapClassifier(**(TWO_EPOCHS | {"probabilityMode": "bmu"})).fit(samples(spark, d))
+    if column == "prediction":
+        return tidy(model.transform(samples(spark, d)).select("id", "prediction"))
+    return tidy(model.predict_proba(samples(spark, d)).select("id", F.posexplode("probabilities").alias("class_index", "probability")).where("probability > 0"))
+
+
+def two_epoch_entropy(spark, d):
+    """The entropy of each neuron's labels and the label that it stands for."""
+    n = GrowingMapClassifier(**(TWO_EPOCHS | {"growthCriterion": "entropy"})).fit(samples(spark, d)).nodes()
+    e = F.aggregate("probabilities", F.lit(0.0), lambda s, p: s - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
+    return tidy(n.select("neuron_id", "label_index", e.alias("entropy")))
+
+
+def project_on_two(spark, d):
+    """Mixtures of two prototypes."""
+    maps = FittedMaps.of_codebook(spark, [(0, 0), (0, 1)], codebook(spark, d)[:2])
+    return tidy(maps.project(samples(spark, d)).select("id", F.posexplode("coefficients").alias("neuron_id", "coefficient")).where("coefficient > 0"))
+
+
+def total_variance_distributed(spark, d):
+    """The variance that training over the cluster uses, of features far from 0."""
+    far = samples(spark, d).withColumn("features", F.transform("features", lambda v, i: v + (i % 3) * 1e6))
+    return tidy(spark.createDataFrame([(float(SparkSamples(far).moments().var_pop.sum()),)], "total_variance double"))
+
+
 def vertical_growth(spark, d):
-    model = GrowingMapClassifier(nIter=15, spreadingFactor=0.6, verticalGrowth=True, minSamplesVerticalGrowth=40, maxDepth=2, seed=0).fit(samples(spark, d))
+    model = GrowingMapClassifier(**HIERARCHY).fit(samples(spark, d))
     return tidy(model.nodes().groupBy("map_id").agg(F.count(F.lit(1)).alias("n"), F.sum("hit_count").alias("hit_count"), F.count("child_id").alias("children")))
 
 
 def hierarchical_predict(spark, d):
-    model = fit_clusterer(spark, d, nIter=15, spreadingFactor=0.6, verticalGrowth=True, minSamplesVerticalGrowth=40, maxDepth=2)
+    model = fit_clusterer(spark, d, **HIERARCHY)
     return tidy(model.assign(samples(spark, d)).select("id", "map_id", "neuron_id", "distance"))
 
 
@@ -281,6 +329,35 @@ def _metric(expr: str) -> str:
 
 
 _NEAR = "samples cb near bmu"
+
+
+def _two_epochs() -> str:
+    """CTEs up to ``live``: the map after two epochs of four neurons (nid, x, y, w), less dead ones, with hits and error; ``last`` has each sample's neuron.
+
+    The first prototypes are rows that a seeded generator draws by the number of rows, listed for the tables' sizes.
+    """
+    sizes = (100, 200, 500, 1000, 2000, 5000, 10000, 20000, 50000, 100000)
+    ranks = ", ".join(f"({n}, {k}, {r})" for n in sizes for k, r in enumerate(np.random.default_rng(0).choice(n, 4, replace=False)))
+    hop = "abs(i.nid // 2 - j.nid // 2) + abs(i.nid % 2 - j.nid % 2)"
+    parts = [_SQL["samples"], _SQL["long"], _SQL["var"], f"ranks(n, k, r) AS (VALUES {ranks})", "w0 AS (SELECT k AS nid, f AS w FROM (SELECT f, row_number() OVER (ORDER BY id) - 1 AS r, count(*) OVER () AS n FROM samples) s JOIN ranks USING (n, r))"]
+    for e in range(3):
+        parts.append(f"n{e} AS (SELECT s.id, s.label, s.f, c.nid, list_distance(s.f, c.w) AS d, row_number() OVER (PARTITION BY s.id ORDER BY list_distance(s.f, c.w), c.nid) AS r FROM samples s CROSS JOIN w{e} c)")
+        if e < 2:
+            sigma = sigma_at(e, 4, 2, 0.5, True, "exponential", 0.02, None, None)
+            parts.append(f"c{e} AS (SELECT nid, dim, sum(s * v) / sum(s) AS c, count(*) AS n FROM (SELECT nid, 1 - sqrt(1 - exp(-(d * d) / var.tv)) AS s, unnest(range(64)) AS dim, unnest(f) AS v FROM n{e} CROSS JOIN var WHERE r = 1) GROUP BY nid, dim)")
+            h = f"exp(-(({hop}) * ({hop})) / (2 * {sigma!r} * {sigma!r}))"
+            parts.append(f"w{e + 1} AS (SELECT nid, list(v ORDER BY dim) AS w FROM (SELECT i.nid, j.dim, sum({h} * j.n * j.c) / sum({h} * j.n) AS v FROM w{e} i CROSS JOIN c{e} j GROUP BY i.nid, j.dim) GROUP BY nid)")
+    parts.append("around AS (SELECT i.nid, avg(list_distance(i.w, j.w)) AS ad FROM w2 i JOIN w2 j ON " + hop + " = 1 GROUP BY i.nid)")
+    parts.append("hits AS (SELECT nid, count(*) AS n, sum(d) AS e FROM n2 WHERE r = 1 GROUP BY nid)")
+    parts.append("live AS (SELECT row_number() OVER (ORDER BY nid) - 1 AS number, nid, nid // 2 AS x, nid % 2 AS y, w, n, e, ad FROM w2 JOIN hits USING (nid) JOIN around USING (nid))")
+    parts.append("last AS (SELECT id, label, d, number, x, y FROM (SELECT s.id, s.label, l.number, l.x, l.y, list_distance(s.f, l.w) AS d, row_number() OVER (PARTITION BY s.id ORDER BY list_distance(s.f, l.w), l.number) AS r FROM samples s CROSS JOIN live l) WHERE r = 1)")
+    parts.append("classes AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS k FROM (SELECT DISTINCT label FROM samples))")
+    parts.append("shares AS (SELECT number, label, k, count(*) / sum(count(*)) OVER (PARTITION BY number) AS p, min(id) AS first FROM last JOIN classes USING (label) GROUP BY number, label, k)")
+    return "WITH " + ", ".join(parts) + " "
+
+
+_EPOCHS = _two_epochs()
+_TWO_MAP = _EPOCHS + "SELECT number AS neuron_id, x, y, n AS hit_count, round(e, 6) AS error, round(ad, 6) AS average_distance, unnest(range(64)) AS dim, unnest(list_transform(w, lambda v: round(v, 6))) AS value FROM live"
 _PHI = "CASE WHEN k > 0 THEN count(*) FILTER (WHERE ch > k AND h = 1) ELSE count(*) FILTER (WHERE abs(eu - 1) < 1e-9 AND (h IS NULL OR h > -k)) END"
 
 _CATALOGUE: dict[str, tuple[Query, str | None]] = {
@@ -298,8 +375,8 @@ _CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "feature_std": (lambda s, d: agg.feature_moments(samples(s, d)).select("dim", "std_samp"), _with("samples long", "SELECT dim, round(stddev_samp(v), 6) AS std_samp FROM long GROUP BY dim")),
     "growing_threshold": (growing_thresholds, _with("samples long var", "SELECT 'se' AS method, round(150 * -ln(0.5) * nrm, 6) AS threshold FROM var UNION ALL SELECT 'classical', round(-k * ln(0.5), 6) FROM var UNION ALL SELECT 'entropy', 0.5 FROM var")),
     "sample_weight": (lambda s, d: _weighted(s, d).select("id", "sample_weight"), _with(f"{_NEAR} long var sw", "SELECT id, round(s, 6) AS sample_weight FROM sw")),
-    "voronoi_centers_weighted": (_centers, _with(f"{_NEAR} long var sw cen", "SELECT nid AS neuron_id, dim, round(c, 6) AS value FROM cen")),
-    "voronoi_centers_mean": (lambda s, d: agg.centers(samples(s, d), _near_with_features(s, d)), _with(_NEAR, "SELECT nid AS neuron_id, dim, round(avg(v), 6) AS value FROM (SELECT nid, unnest(range(64)) AS dim, unnest(f) AS v FROM bmu) GROUP BY nid, dim")),
+    "voronoi_centers_weighted": (lambda s, d: _centers(s, d).drop("hit_count"), _with(f"{_NEAR} long var sw cen", "SELECT nid AS neuron_id, dim, round(c, 6) AS value FROM cen")),
+    "voronoi_centers_mean": (lambda s, d: agg.centers(_near_with_features(s, d)).drop("hit_count"), _with(_NEAR, "SELECT nid AS neuron_id, dim, round(avg(v), 6) AS value FROM (SELECT nid, unnest(range(64)) AS dim, unnest(f) AS v FROM bmu) GROUP BY nid, dim")),
     "sigma_schedule": (sigma_schedule, "SELECT decay, epoch, round(CASE WHEN epoch > 100 THEN 0.7 WHEN decay = 'linear' THEN 0.8 * (1 - epoch / 0.5 / 200) + 0.7 * (epoch / 0.5 / 200) ELSE 0.7 + (0.8 - 0.7) * exp(-0.02 * (epoch / 0.5)) END, 6) AS sigma FROM (SELECT unnest(['exponential', 'linear']) AS decay), range(200) t(epoch)"),
     "hop_distance": (lambda s, d: topology.hops(edges(s, d), SIDE * SIDE), _with("samples cb edges", ", walk(i, j, h) AS (SELECT nid, nid, 0 FROM cb UNION SELECT w.i, e.dst, w.h + 1 FROM walk w JOIN edges e ON e.src = w.j WHERE w.h < 8) SELECT i, j, CAST(min(h) AS BIGINT) AS hops FROM walk GROUP BY i, j")),
     "grid_distances": (lambda s, d: topology.neuron_pairs(neurons(s, d)), _with("samples cb", "SELECT a.nid AS i, b.nid AS j, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS euclidean, abs(a.x - b.x) + abs(a.y - b.y) AS manhattan, greatest(abs(a.x - b.x), abs(a.y - b.y)) AS chebyshev FROM cb a CROSS JOIN cb b")),
@@ -391,7 +468,18 @@ _CATALOGUE: dict[str, tuple[Query, str | None]] = {
         customer_segments,
         "WITH spent AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS money FROM lineitem GROUP BY l_orderkey), rfm AS (SELECT o_custkey AS id, date_diff('day', CAST(max(o_orderdate) AS DATE), DATE '1998-12-31') / 1000 AS r, count(*) / 10 AS f, sum(money) / 1e6 AS m FROM orders JOIN spent ON l_orderkey = o_orderkey GROUP BY o_custkey), book(nid, r, f, m) AS (VALUES (0, 0.2, 0.5, 0.5), (1, 0.2, 1.5, 2.0), (2, 1.0, 0.5, 0.5), (3, 1.0, 1.5, 2.0)), near AS (SELECT a.id, b.nid, sqrt((a.r - b.r) ** 2 + (a.f - b.f) ** 2 + (a.m - b.m) ** 2) AS d FROM rfm a CROSS JOIN book b), best AS (SELECT id, nid, d, row_number() OVER (PARTITION BY id ORDER BY d, nid) AS k FROM near) SELECT CAST(nid AS BIGINT) AS neuron_id, count(*) AS n, round(avg(d), 6) AS distance FROM best WHERE k = 1 GROUP BY nid",
     ),
-    "train_vq_hits": (train_vq_hits, "SELECT CAST(count(*) AS BIGINT) AS n FROM embeddings"),
+    "two_epoch_map": (two_epoch_map, _TWO_MAP),
+    "two_epoch_map_distributed": (lambda s, d: two_epoch_map(s, d, localCells=0), _TWO_MAP),
+    "two_epoch_metrics": (two_epoch_metrics, _EPOCHS + ", two AS (SELECT a.nid AS n1, b.nid AS n2, a.d FROM n2 a JOIN n2 b ON a.id = b.id AND a.r = 1 AND b.r = 2) SELECT round(avg(d), 6) AS quantization_error, round(avg(CASE WHEN abs(n1 // 2 - n2 // 2) + abs(n1 % 2 - n2 % 2) > 1 THEN 1.0 ELSE 0.0 END), 6) AS topographic_error, round(min(tv), 6) AS total_variance, count(*) AS n_samples, 64 AS n_features FROM two CROSS JOIN var"),
+    "two_epoch_round_trip": (two_epoch_round_trip, _EPOCHS + "SELECT id, number AS prediction FROM last"),
+    "two_epoch_predict": (lambda s, d: two_epoch_classes(s, d, "prediction"), _EPOCHS + "SELECT id, best.label AS prediction FROM last JOIN (SELECT number, arg_min(label, (-p, k)) AS label FROM shares GROUP BY number) best USING (number)"),
+    "two_epoch_proba": (lambda s, d: two_epoch_classes(s, d, "probabilities"), _EPOCHS + "SELECT id, k AS class_index, round(p, 6) AS probability FROM last JOIN shares USING (number)"),
+    "two_epoch_entropy": (two_epoch_entropy, _EPOCHS + "SELECT number AS neuron_id, arg_min(k, (-p, first)) AS label_index, round(-sum(p * log2(p)), 6) AS entropy FROM shares GROUP BY number"),
+    "project_on_two": (
+        project_on_two,
+        _with("samples cb", ", u AS (SELECT nid, list_transform(w, lambda v: v / sqrt(list_dot_product(w, w))) AS w FROM cb WHERE nid < 2), t AS (SELECT s.id, list_dot_product(s.f, a.w) / sqrt(list_dot_product(s.f, s.f)) AS t0, list_dot_product(s.f, b.w) / sqrt(list_dot_product(s.f, s.f)) AS t1, list_dot_product(a.w, b.w) AS g FROM samples s CROSS JOIN (SELECT w FROM u WHERE nid = 0) a CROSS JOIN (SELECT w FROM u WHERE nid = 1) b), c AS (SELECT id, CASE WHEN t0 > g * t1 AND t1 > g * t0 THEN (t0 - g * t1) / (1 - g * g) WHEN t0 >= t1 THEN t0 ELSE 0 END AS c0, CASE WHEN t0 > g * t1 AND t1 > g * t0 THEN (t1 - g * t0) / (1 - g * g) WHEN t1 > t0 THEN t1 ELSE 0 END AS c1 FROM t) SELECT id, 0 AS neuron_id, round(c0, 6) AS coefficient FROM c WHERE c0 > 1e-10 UNION ALL SELECT id, 1, round(c1, 6) FROM c WHERE c1 > 1e-10"),
+    ),
+    "total_variance_distributed": (total_variance_distributed, _with("samples long var", "SELECT round(tv, 6) AS total_variance FROM var")),
     "train_vq": (train_vq, None),
     "train_vq_distributed": (train_vq_distributed, None),
     "train_classifier": (train_classifier, None),

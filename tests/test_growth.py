@@ -125,7 +125,7 @@ def test_schedules():
     assert abs(at(0) - 0.4) < 1e-12 and abs(at(50) - (0.7 - 0.3 * np.exp(-2))) < 1e-12
     assert abs(at(50, decay="linear") - 0.55) < 1e-12 and abs(at(100, decay="linear") - 0.7) < 1e-12
     assert at(150, coarse=False) == 0.7
-    assert abs(exponential_decay(0.2, 0.05, 100, 50, 0.01) - (0.05 + 0.15 * np.exp(-0.5))) < 1e-12
+    assert abs(exponential_decay(0.2, 0.05, 50, 0.01) - (0.05 + 0.15 * np.exp(-0.5))) < 1e-12
     assert abs(linear_decay(0.2, 0.05, 100, 50) - 0.125) < 1e-12
 
 

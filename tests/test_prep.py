@@ -1,8 +1,11 @@
 import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from somatlas.operators import evaluate, prep
+from somatlas.operators.assign import assign, assign_expr
 
 
 def test_constant_features(spark):
@@ -12,6 +15,27 @@ def test_constant_features(spark):
     assert df.select(prep.l2_normalize(F.array(F.lit(0.0), F.lit(0.0))).alias("f")).first()["f"] == [0.0, 0.0]
 
 
+def test_columns_with_the_operators_own_names(spark):
+    names = ("m", "moments", "_moments", "slot", "n_slots", "category", "__n", "stratum", "rows", "low", "__rank")
+    df = spark.createDataFrame([(i, [float(i), 2.0], "abc"[i % 3]) for i in range(9)], "id int, features array<double>, c string").withColumns({n: F.lit(n) for n in names})
+    for out in (prep.standardize(df), prep.min_max(df), prep.one_hot(df, "c"), prep.stratified_split(df.drop("__rank"), "c", "id", 0.5)):
+        assert len(out.columns) == len(set(out.columns)) and out.count() == 9
+        for n in set(names) & set(out.columns):
+            assert out.where(F.col(n) != n).count() == 0
+    near = assign(df.withColumn("neuron_id", F.lit("x")), np.eye(2))
+    assert near.columns.count("neuron_id") == 1 and near.where("neuron_id in (0, 1)").count() == 9
+    neurons = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "neuron_id int, weight array<double>")
+    near = assign_expr(df.withColumns({"near": F.lit(1), "codebook": F.lit(2), "distance": F.lit("d")}), neurons)
+    assert near.columns.count("distance") == 1 and near.where("codebook = 2 and near = 1").count() == 9
+
+
+def test_donors_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(prep, "MAX_DONORS", 3)
+    df = spark.createDataFrame([(0, 1.0, None)], "id int, a double, b double")
+    with pytest.raises(ValueError, match="donors"):
+        prep.impute_nearest(df, "id", ["a", "b"], df.unionByName(df), 1)
+
+
 def test_one_hot_unknown_and_null(spark):
     df = spark.createDataFrame([(v,) for v in "aaabbc"] + [(None,)], "c string")
     got = {r["c"]: r["c_slot"] for r in prep.one_hot(df, "c", 2).collect()}

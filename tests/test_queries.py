@@ -38,6 +38,13 @@ def test_other_query_runs(spark, name):
     assert df.count() > 0
 
 
+def test_hierarchy_has_children(spark):
+    maps = q.queries()["vertical_growth"](spark, DATA).collect()
+    assert len(maps) > 1 and sum(r["children"] for r in maps) == len(maps) - 1
+    leaves = q.queries()["hierarchical_predict"](spark, DATA).toPandas()
+    assert (leaves.map_id > 0).any() and leaves.id.is_unique
+
+
 def test_stream_scoring_counts_every_event(spark, oracle):
     hits = q.queries()["stream_scoring"](spark, DATA).collect()
     assert sum(r["hits"] for r in hits) == oracle.execute("SELECT count(*) FROM events").fetchone()[0]

@@ -2,13 +2,14 @@
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from somatlas.functions.distance import METRICS, nearest_rows, pairwise
 from somatlas.operators.evaluate import prototype_colors
 from somatlas.plans.estimators import GrowingMapClassifier, GrowingMapClusterer, GrowingMapModel
-from somatlas.plans.nnls import codes, nnls
+from somatlas.plans.nnls import codes, nnls, nnls_rows
 from somatlas.plans.training import LocalSamples, Settings, SparkSamples, train, update
 from somatlas.sources.readers import from_matrix, read_csv, read_npy, read_wide_csv, write_map
 
@@ -90,6 +91,19 @@ def test_local_and_distributed_training_agree(spark):
     assert len(a.map) > 4
 
 
+@pytest.mark.parametrize("offset", [0.0, 1e6, 1e9])
+def test_features_far_from_zero(spark, offset):
+    x, _ = blobs()
+    x = x + offset
+    s = Settings(n_iter=8, spreading_factor=0.9, seed=3)
+    local, spread = LocalSamples(x), SparkSamples(from_matrix(spark, x).repartition(7))
+    a, b = local.moments(), spread.moments()
+    assert np.allclose(a.var_pop, b.var_pop, rtol=1e-6) and np.allclose(b.var_pop, (x - x.mean(0)).var(0), rtol=1e-6)
+    a, b = train(local, s), train(spread, s)
+    assert a.map.cells == b.map.cells and np.allclose(a.map.weights - offset, b.map.weights - offset, atol=1e-5) and len(a.map) > 4
+    assert np.allclose(a.map.weights.mean(0) - offset, train(LocalSamples(x - offset), s).map.weights.mean(0), atol=0.3)
+
+
 def test_training_is_repeatable_and_partition_free(spark):
     x, y = blobs()
     df = from_matrix(spark, x, [f"c{v}" for v in y])
@@ -213,6 +227,62 @@ def test_nnls_conditions():
     assert codes(np.zeros((1, 3)), np.eye(3)).tolist() == [[0, 0, 0]]
 
 
+def plain_nnls(gram, t, tol=1e-10):
+    """Lawson and Hanson for one row."""
+    n = len(t)
+    c, on = np.zeros(n), np.zeros(n, bool)
+    for _ in range(3 * n):
+        grad = np.where(on, -np.inf, t - gram @ c)
+        if grad.max() <= tol:
+            break
+        on[grad.argmax()] = True
+        while on.any():
+            s = np.zeros(n)
+            s[on] = np.linalg.lstsq(gram[np.ix_(on, on)], t[on], rcond=None)[0]
+            if (s[on] > tol).all():
+                c = s
+                break
+            low = on & (s <= tol)
+            c = c + (c[low] / np.maximum(c[low] - s[low], 1e-300)).min() * (s - c)
+            on &= c > tol
+            c = np.where(on, c, 0)
+    return c
+
+
+def test_batched_nnls_against_single_rows():
+    rng = np.random.default_rng(6)
+    for k, d in ((1, 3), (6, 20), (25, 6), (40, 40)):
+        dictionary = rng.normal(size=(k, d)) + 0.3
+        if k > 20:
+            dictionary[7] = dictionary[3]  # two equal columns, one that is a sum of others, one of zeros
+            dictionary[9] = dictionary[1] + dictionary[2]
+            dictionary[11] = 0
+        x = rng.normal(size=(150, d)) + 0.3
+        x[5] = 0
+        gram, t = dictionary @ dictionary.T, x @ dictionary.T
+        got = nnls_rows(gram, t)
+        want = np.stack([plain_nnls(gram, row) for row in t])
+        assert (got >= 0).all()
+        loss = lambda c: ((x - c @ dictionary) ** 2).sum(1)
+        assert np.allclose(loss(got), loss(want), atol=1e-8)
+        if k <= 6:
+            assert np.allclose(got, want, atol=1e-9)
+
+
+def test_pipelines_are_saved_with_the_map(spark, tmp_path):
+    x, y = blobs()
+    df = from_matrix(spark, x, [f"c{v}" for v in y])
+    for est in (GrowingMapClusterer(nIter=5, seed=1), GrowingMapClassifier(nIter=5, seed=1, predictionCol="guess", verticalGrowth=True)):
+        path = str(tmp_path / type(est).__name__)
+        Pipeline(stages=[est]).write().overwrite().save(path + "-unfitted")
+        again = Pipeline.load(path + "-unfitted").getStages()[0]
+        assert {p.name: v for p, v in again.extractParamMap().items()} == {p.name: v for p, v in est.extractParamMap().items()}
+        fitted = Pipeline(stages=[again]).fit(df)
+        fitted.write().overwrite().save(path)
+        a, b = (m.transform(df).orderBy("id").collect() for m in (fitted, PipelineModel.load(path)))
+        assert a == b and est.value("predictionCol") in a[0].asDict()
+
+
 def test_projection_rebuilds_prototypes(spark):
     x, _ = blobs()
     model = GrowingMapClusterer(nIter=10, spreadingFactor=0.9, seed=0).fit(from_matrix(spark, x))
@@ -226,6 +296,15 @@ def test_sources(spark, tmp_path):
     m = np.arange(12.0).reshape(4, 3)
     np.save(tmp_path / "m.npy", m)
     assert [r["features"] for r in read_npy(spark, str(tmp_path / "m.npy")).orderBy("id").collect()] == m.tolist()
+    (tmp_path / "many").mkdir()
+    for i, rows in enumerate((m[:1], m[1:3], m[3:])):
+        np.save(tmp_path / "many" / f"{i}.npy", rows)
+    assert [(r["id"], r["features"]) for r in read_npy(spark, str(tmp_path / "many")).orderBy("id").collect()] == list(enumerate(m.tolist()))
+    (tmp_path / "wide").mkdir()
+    for i in range(3):
+        (tmp_path / "wide" / f"{i}.csv").write_text("label,id,p1\n" + "".join(f"c{i},{10 * i + k},1\n" for k in range(i + 2)))
+    wide = read_wide_csv(spark, str(tmp_path / "wide"), None, "label", 2).orderBy("id").collect()
+    assert [(r["id"], r["features"][0]) for r in wide] == list(enumerate([0.0, 1.0, 10.0, 11.0, 12.0, 20.0, 21.0, 22.0, 23.0]))
     (tmp_path / "w.csv").write_text("label,p0,p1\na,1,2\nb,3,4\n")
     wide = read_wide_csv(spark, str(tmp_path / "w.csv"), None, "label", 2).orderBy("label").collect()
     assert [(r["label"], r["features"]) for r in wide] == [("a", [1.0, 2.0]), ("b", [3.0, 4.0])]
