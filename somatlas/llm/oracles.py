@@ -35,22 +35,42 @@ SELECT conv_id, count(*) AS n_turns,
 FROM rows GROUP BY conv_id
 """
 
+_PLAIN = "(code IN (45, 46, 95, 126) OR code BETWEEN 48 AND 57 OR code BETWEEN 65 AND 90 OR code BETWEEN 97 AND 122)"
+
+
+def _percent(c: str) -> str:
+    code = "CAST('0x' || s[1:2] AS INTEGER)"
+    return f"array_to_string(list_transform(string_split({c}, '%'), lambda s, i: CASE WHEN i = 1 THEN s WHEN regexp_matches(s, '^[0-9A-Fa-f]{{2}}') THEN (CASE WHEN {_PLAIN.replace('code', code)} THEN chr({code}) ELSE '%' || upper(s[1:2]) END) || s[3:] ELSE '%' || s END), '')"
+
+
+_STEP = "CASE WHEN x[1] = '.' THEN acc WHEN x[1] = '..' THEN (CASE WHEN len(acc) > 1 THEN acc[1:len(acc) - 1] ELSE acc END) ELSE list_concat(acc, x) END"
+_DOTS = f"array_to_string(list_reduce([CAST([] AS VARCHAR[])] || list_transform(string_split(p, '/'), lambda s: [s]) || (CASE WHEN string_split(p, '/')[-1] IN ('.', '..') THEN [['']] ELSE [] END), lambda acc, x: {_STEP}), '/')"
+
 REVISITS = f"""
-WITH u AS (SELECT page_id, md5(coalesce(html, '')) AS digest, lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') AS day, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^https?://(www\\.)?', '', 'i') AS u FROM pages),
-c1 AS (SELECT page_id, digest, day, regexp_replace(lower(regexp_extract(u, '^[^/?]*')), ':(80|443)$', '') AS host, regexp_replace(regexp_extract(u, '^[^/?]*(.*)$', 1), '([?&])(?:{TRACKING_PARAMETERS})=[^&]*', '\\1', 'g') AS rest FROM u),
-c2 AS (SELECT page_id, digest, day, host || regexp_replace(regexp_replace(regexp_replace(regexp_replace(rest, '&+', '&', 'g'), '\\?&', '?', 'g'), '[?&]+$', ''), '/$', '') AS canonical FROM c1),
+WITH pg AS (SELECT page_id AS n, url, md5(coalesce(html, '')) AS digest, lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') AS day, CAST(page_id // 4 AS VARCHAR) AS g FROM pages),
 caps AS (
-  SELECT page_id * 4 AS capture_id, canonical, page_id * 10 AS seen, false AS rv, digest, day, 0 AS visit, page_id FROM c2
-  UNION ALL SELECT page_id * 4 + 1, canonical, page_id * 10 + 1, true, digest, day, 1, page_id FROM c2
-  UNION ALL SELECT page_id * 4 + 2, canonical, page_id * 10 + 2, true, digest, day, 2, page_id FROM c2
-  UNION ALL SELECT page_id * 4 + 3, canonical, -1, true, digest, day, 3, page_id FROM c2 WHERE page_id % 5 = 0),
-line AS (SELECT *, last_value(CASE WHEN NOT rv THEN capture_id END IGNORE NULLS) OVER w AS oid, last_value(CASE WHEN NOT rv THEN digest END IGNORE NULLS) OVER w AS od FROM caps
+  SELECT n, 0 AS visit, url, n * 10 AS seen, digest, [{{'k': 'etag', 'v': digest}}, {{'k': 'content-type', 'v': 'text/html'}}, {{'k': 'cache-control', 'v': 'max-age=60'}}] AS h FROM pg
+  UNION ALL SELECT n, 1, url, n * 10 + 1, digest, [{{'k': 'etag', 'v': 'W/' || digest}}, {{'k': 'content-type', 'v': 'text/plain'}}, {{'k': 'date', 'v': day}}] FROM pg
+  UNION ALL SELECT n, 2, url, n * 10 + 2, digest, CASE WHEN n % 3 = 0 THEN [{{'k': 'etag', 'v': 'other'}}] ELSE [{{'k': 'expires', 'v': day}}] END FROM pg
+  UNION ALL SELECT n, 3, url, -1, digest, [{{'k': 'date', 'v': day}}] FROM pg WHERE n % 5 = 0
+  UNION ALL SELECT n, 4, s, n * 10 + 3, digest, CASE WHEN n % 2 = 0 THEN [{{'k': 'etag', 'v': digest}}, {{'k': 'vary', 'v': 'accept'}}] ELSE [{{'k': 'last-modified', 'v': day}}, {{'k': 'server', 'v': 's'}}] END FROM (SELECT *, CASE WHEN n % 2 = 0 THEN 'https://www.Archive.example/v/~' || g ELSE 'HTTP://archive.example:80/old/../v/./%7e' || g || '/?utm_source=feed#top' END AS s FROM pg)
+  UNION ALL SELECT n, 5, s, n * 10 + 15, digest, CASE WHEN n % 2 = 0 THEN [{{'k': 'etag', 'v': digest}}, {{'k': 'last-modified', 'v': day}}] ELSE [{{'k': 'last-modified', 'v': day}}, {{'k': 'content-location', 'v': '/c'}}] END FROM (SELECT *, CASE WHEN n % 2 = 0 THEN 'https://www.Archive.example/v/~' || g ELSE 'HTTP://archive.example:80/old/../v/./%7e' || g || '/?utm_source=feed#top' END AS s FROM pg)
+  UNION ALL SELECT n, 6, s, n * 10 + 16, digest, [{{'k': 'vary', 'v': '*'}}, {{'k': 'server', 'v': 't'}}] FROM (SELECT *, CASE WHEN n % 2 = 0 THEN 'https://www.Archive.example/v/~' || g ELSE 'HTTP://archive.example:80/old/../v/./%7e' || g || '/?utm_source=feed#top' END AS s FROM pg)),
+u1 AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS u FROM caps),
+u2 AS (SELECT *, regexp_matches(u, '(?i)^https://') AS secure, regexp_replace(u, '(?i)^https?://(www\\.)?', '') AS r FROM u1),
+u3 AS (SELECT *, regexp_replace(lower(regexp_extract(r, '^[^/?]*')), CASE WHEN secure THEN ':443$' ELSE ':80$' END, '') AS host, {_percent("regexp_extract(r, '^[^/?]*([^?]*)', 1)")} AS p, list_filter(string_split({_percent("regexp_extract(r, '^[^?]*[?](.*)$', 1)")}, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^({TRACKING_PARAMETERS})(=|$)')) AS q FROM u2),
+u4 AS (SELECT *, {_DOTS} AS path, array_to_string(q, '&') AS query FROM u3),
+c AS (SELECT n * 8 + visit AS capture_id, seen, digest, h, visit NOT IN (0, 4) AS rv, CASE WHEN url IS NULL THEN NULL WHEN query = '' THEN host || regexp_replace(path, '/$', '') ELSE host || path || '?' || query END AS canonical,
+  list_filter(h, lambda e: e.k = 'etag')[1].v AS etag, list_filter(h, lambda e: e.k = 'last-modified')[1].v AS lm FROM u4),
+line AS (SELECT *, last_value(CASE WHEN NOT rv THEN {{'id': capture_id, 'd': digest, 'h': h, 'etag': etag, 'lm': lm}} END IGNORE NULLS) OVER w AS o FROM c
   WINDOW w AS (PARTITION BY canonical ORDER BY seen, capture_id, rv ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-judged AS (SELECT *, CASE WHEN canonical IS NULL OR oid IS NULL THEN 'no_original' WHEN visit = 2 AND page_id % 3 = 0 THEN 'validator_mismatch' WHEN od = digest THEN 'resolved' ELSE 'validator_mismatch' END AS status FROM line WHERE rv)
-SELECT capture_id, canonical, CASE WHEN canonical IS NOT NULL THEN oid END AS original_id, status, digest,
-  CASE WHEN status = 'resolved' THEN 'cache-control=max-age=60;content-type=text/html;' || CASE visit WHEN 1 THEN 'date=' || day || ';etag=W/' || digest WHEN 3 THEN 'date=' || day || ';etag=' || digest ELSE 'etag=' || digest || ';expires=' || day END
-       WHEN visit = 1 THEN 'content-type=text/plain;date=' || day || ';etag=W/' || digest WHEN visit = 3 THEN 'date=' || day WHEN page_id % 3 = 0 THEN 'etag=other' ELSE 'expires=' || day END AS headers
-FROM judged
+judged AS (SELECT *, CASE WHEN canonical IS NULL OR o IS NULL THEN 'no_original'
+  WHEN CASE WHEN etag IS NOT NULL THEN regexp_replace(etag, '^W/', '') IS NOT DISTINCT FROM regexp_replace(o.etag, '^W/', '') WHEN lm IS NOT NULL THEN lm IS NOT DISTINCT FROM o.lm ELSE digest = o.d END THEN 'resolved' ELSE 'validator_mismatch' END AS status,
+  list_filter(h, lambda e: e.k IN ('cache-control', 'content-location', 'date', 'etag', 'expires', 'vary') OR (e.k = 'last-modified' AND etag IS NULL)) AS new FROM line WHERE rv),
+merged AS (SELECT *, CASE WHEN status = 'resolved' THEN list_filter(o.h, lambda e: NOT list_contains(list_transform(new, lambda x: x.k), e.k)) || new ELSE h END AS out FROM judged)
+SELECT capture_id, canonical, CASE WHEN canonical IS NOT NULL THEN o.id END AS original_id, status, CASE WHEN status = 'resolved' THEN o.d ELSE digest END AS digest,
+  array_to_string(list_sort(list_transform(out, lambda e: e.k || '=' || e.v)), ';') AS headers
+FROM merged
 """
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

@@ -44,25 +44,33 @@ def op3_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captures made of the pages: each page, in page_id order, is a full response and is asked for again twice.
-
-    A visit 1 after it brings the same validators and is a revisit that can be
-    resolved; a visit 2 after it, for every page whose number isn't a multiple
-    of 3, has no ETag but a digest, and for the others an ETag of another
-    version. Before all of them the pages whose number is a multiple of 5 are
-    visited once, when there is no response yet.
+    """Captures made of the pages, up to seven of each; digests are of the pages' html.
+
+    Under the page's own URL: a response (visit 0); a revisit with the same
+    ETag (1); one with an ETag of another version, or without any (2); and for
+    every fifth page a revisit before any response (3). Under a URL that four
+    pages share, written in two ways: a response (4), of even pages with an
+    ETag and of odd ones with Last-Modified; a revisit with the same validator
+    (5) and one without any (6), both after the next page's response, so that
+    its version decides and not the page's own. Header names are in any case.
     """
     p = table(spark, sf_dir, "pages").select("page_id", "url", F.md5(F.coalesce("html", F.lit(""))).alias("digest"))
     h = lambda *kv: F.create_map(*map(lambda x: F.lit(x) if isinstance(x, str) else x, kv))
-    day = F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0")
+    n, digest = F.col("page_id"), F.col("digest")
+    day, even, group = F.lpad((n % 28 + 1).cast("string"), 2, "0"), n % 2 == 0, F.expr("page_id div 4").cast("string")
+    shared = F.when(even, F.concat(F.lit("https://www.Archive.example/v/~"), group)).otherwise(F.concat(F.lit("HTTP://archive.example:80/old/../v/./%7e"), group, F.lit("/?utm_source=feed#top")))
+    visit = lambda k, url, at, kind, headers: F.struct(F.lit(k).alias("visit"), url.alias("url"), at.cast("long").alias("at"), F.lit(kind).alias("kind"), headers.alias("headers"))
     visits = F.array(
-        F.struct(F.lit(0).alias("visit"), (F.col("page_id") * 10).alias("at"), F.lit("response").alias("kind"), h("etag", F.col("digest"), "content-type", "text/html", "cache-control", "max-age=60").alias("headers")),
-        F.struct(F.lit(1).alias("visit"), (F.col("page_id") * 10 + 1).alias("at"), F.lit("revisit").alias("kind"), h("etag", F.concat(F.lit("W/"), F.col("digest")), "content-type", "text/plain", "date", day).alias("headers")),
-        F.struct(F.lit(2).alias("visit"), (F.col("page_id") * 10 + 2).alias("at"), F.lit("revisit").alias("kind"), F.when(F.col("page_id") % 3 == 0, h("etag", "other")).otherwise(h("expires", day)).alias("headers")),
-        F.struct(F.lit(3).alias("visit"), F.when(F.col("page_id") % 5 == 0, F.lit(-1)).cast("long").alias("at"), F.lit("revisit").alias("kind"), h("date", day).alias("headers")),
+        visit(0, F.col("url"), n * 10, "response", h("ETag", digest, "Content-Type", "text/html", "cache-control", "max-age=60")),
+        visit(1, F.col("url"), n * 10 + 1, "revisit", h("etag", F.concat(F.lit("W/"), digest), "Content-Type", "text/plain", "DATE", day)),
+        visit(2, F.col("url"), n * 10 + 2, "revisit", F.when(n % 3 == 0, h("Etag", "other")).otherwise(h("Expires", day))),
+        visit(3, F.col("url"), F.when(n % 5 == 0, F.lit(-1)), "revisit", h("Date", day)),
+        visit(4, shared, n * 10 + 3, "response", F.when(even, h("ETag", digest, "Vary", "accept")).otherwise(h("Last-Modified", day, "Server", "s"))),
+        visit(5, shared, n * 10 + 15, "revisit", F.when(even, h("ETAG", digest, "Last-Modified", day)).otherwise(h("last-modified", day, "Content-Location", "/c"))),
+        visit(6, shared, n * 10 + 16, "revisit", h("Vary", "*", "Server", "t")),
     )
     c = p.withColumn("v", F.explode(visits)).where("v.at is not null")
-    return c.select((F.col("page_id") * 4 + F.col("v.visit")).alias("capture_id"), "url", "v.at", "v.kind", "v.headers", "digest")
+    return c.select((n * 8 + F.col("v.visit")).alias("capture_id"), "v.url", "v.at", "v.kind", "v.headers", "digest")
 
 
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

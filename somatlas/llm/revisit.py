@@ -17,27 +17,69 @@ from pyspark.sql.window import Window
 
 from somatlas.runtime import Scratch, ordered_rank
 
-# The fields that a 304 answer may bring (RFC 9110, 15.4.5), with Last-Modified where no ETag is sent.
-PERMITTED_HEADERS = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-# Query parameters that name no other resource.
-TRACKING_PARAMETERS = "utm_[a-z]+|ref|fbclid|gclid"
+# The fields that a 304 answer may bring (RFC 9110, 15.4.5). Last-Modified is one only where the answer has no ETag.
+PERMITTED_HEADERS = ("cache-control", "content-location", "date", "etag", "expires", "vary")
+# Query parameters that campaigns add and that name no other resource.
+TRACKING_PARAMETERS = "utm_[a-z]+|fbclid|gclid"
 BLOCK = 4096
 
 
+def decode_unreserved(c: Column) -> Column:
+    """Percent codes of unreserved characters as the characters, all others with capital letters (RFC 3986, 6.2.2)."""
+
+    def piece(s: Column, i: Column) -> Column:
+        code = F.conv(F.substring(s, 1, 2), 16, 10).cast("int")
+        plain = code.isin(45, 46, 95, 126) | code.between(48, 57) | code.between(65, 90) | code.between(97, 122)
+        decoded = F.concat(F.when(plain, F.char(code)).otherwise(F.concat(F.lit("%"), F.upper(F.substring(s, 1, 2)))), F.substr(s, F.lit(3)))
+        return F.when(i == 0, s).when(s.rlike("^[0-9A-Fa-f]{2}"), decoded).otherwise(F.concat(F.lit("%"), s))
+
+    return F.when(F.contains(c, F.lit("%")), F.array_join(F.transform(F.split(c, "%"), piece), "")).otherwise(c)
+
+
+def remove_dot_segments(path: Column) -> Column:
+    """``.`` and ``..`` segments taken out (RFC 3986, 5.2.4)."""
+    parts = F.split(path, "/")
+
+    def step(out: Column, s: Column) -> Column:
+        up = F.when(F.size(out) > 1, F.slice(out, 1, F.size(out) - 1)).otherwise(out)
+        return F.when(s == ".", out).when(s == "..", up).otherwise(F.concat(out, F.array(s)))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(kept, "/")).otherwise(path)
+
+
 def canonical_url(url: Column) -> Column:
-    """Scheme and a leading ``www.`` dropped, host in lower case, default port, fragment, tracking parameters and a trailing slash dropped; null stays null."""
+    """The URL that captures are compared by; null stays null.
+
+    Scheme and, after one, a leading ``www.`` are dropped, and the host is in
+    lower case. Dropped too: the scheme's default port (80 without a scheme),
+    the fragment, empty and tracking parameters, and a trailing slash of a
+    path that no query follows. Percent codes and dot segments are normalized.
+    """
     u = F.regexp_replace(F.trim(url), r"#.*$", "")
+    secure = u.rlike(r"^(?i)https://")
     u = F.regexp_replace(u, r"^(?i)https?://(?:www\.)?", "")
-    host = F.lower(F.regexp_extract(u, r"^[^/?]*", 0))
-    host = F.regexp_replace(host, r":(?:80|443)$", "")
-    rest = F.regexp_replace(F.regexp_extract(u, r"^[^/?]*(.*)$", 1), rf"([?&])(?:{TRACKING_PARAMETERS})=[^&]*", "$1")
-    rest = F.regexp_replace(F.regexp_replace(rest, "&+", "&"), r"\?&", "?")
-    return F.concat(host, F.regexp_replace(F.regexp_replace(rest, r"[?&]+$", ""), r"/$", ""))
+    raw = F.regexp_extract(u, r"^[^/?]*", 0)
+    host = F.regexp_replace(F.lower(raw), F.when(secure, ":443$").otherwise(":80$"), F.lit(""))
+    path = remove_dot_segments(decode_unreserved(F.regexp_extract(u, r"^[^/?]*([^?]*)", 1)))
+    params = F.filter(F.split(decode_unreserved(F.regexp_extract(u, r"^[^?]*\?(.*)$", 1)), "&"), lambda p: (p != "") & ~p.rlike(rf"^(?:{TRACKING_PARAMETERS})(=|$)"))
+    query = F.array_join(params, "&")
+    return F.concat(host, F.when(query == "", F.regexp_replace(path, "/$", "")).otherwise(F.concat(path, F.lit("?"), query)))
+
+
+def lower_names(headers: Column) -> Column:
+    """The header map with names in lower case; the values of one field that comes several times are joined by commas (RFC 9110, 5.3). Null is no header."""
+    entries = F.array_sort(F.map_entries(headers))  # a map has no order of its own
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(F.trim(e["key"]))))
+    values = lambda n: F.filter(F.transform(F.filter(entries, lambda e: F.lower(F.trim(e["key"])) == n), lambda e: e["value"]), lambda v: v.isNotNull())
+    joined = F.transform(names, lambda n: F.when(F.size(values(n)) > 0, F.array_join(values(n), ", ")))
+    return F.coalesce(F.map_from_arrays(names, joined), F.expr("map()").cast("map<string,string>"))
 
 
 def merge_headers(stored: Column, answer: Column) -> Column:
     """The stored header map, with the permitted fields of the 304 answer in place of its own. Names are in lower case."""
-    new = F.map_filter(answer, lambda k, v: k.isin(*PERMITTED_HEADERS) & v.isNotNull())
+    new = F.map_filter(answer, lambda k, v: v.isNotNull() & (k.isin(*PERMITTED_HEADERS) | ((k == "last-modified") & answer["etag"].isNull())))
     kept = F.map_filter(stored, lambda k, v: ~F.array_contains(F.map_keys(new), k))
     return F.map_concat(kept, new)
 
@@ -46,8 +88,9 @@ def resolve_revisits(captures: DataFrame, scratch: Scratch) -> DataFrame:
     """One row for each revisit in ``captures``.
 
     ``captures`` has capture_id, url, at (any ordered type), kind ('response'
-    or 'revisit'), headers (map of lower-case names), digest. Returns
-    capture_id, canonical, original_id, status, digest, headers. The original
+    or 'revisit'), headers (a map, names in any case), digest. Returns
+    capture_id, canonical, original_id, status, digest, headers (names in
+    lower case). A null ``at`` comes before all others. The original
     is the response before the revisit with the same canonical URL and the
     largest (at, capture_id). status is 'resolved' if its validators agree:
     equal ETags (a W/ prefix aside) if the revisit has one, else equal
@@ -58,7 +101,7 @@ def resolve_revisits(captures: DataFrame, scratch: Scratch) -> DataFrame:
     """
     c = captures.select(
         "capture_id", canonical_url(F.col("url")).alias("canonical"), "at", (F.col("kind") == "revisit").alias("is_revisit"),
-        F.coalesce("headers", F.expr("map()").cast("map<string,string>")).alias("headers"), "digest",
+        lower_names(F.col("headers")).alias("headers"), "digest",
     )
     c = ordered_rank(scratch, scratch.save(c, "captures"), [F.col(x) for x in ("canonical", "at", "capture_id", "is_revisit", "digest")], "ranked")
     c = c.withColumn("block", F.floor(F.col("__rank") / BLOCK))
