@@ -46,35 +46,53 @@ def unescape(c: Column, codes=CODES) -> Column:
 def reply_paths(nodes: DataFrame, scratch: Scratch, top: int = 1) -> DataFrame:
     """Root-to-leaf paths of reply trees: the ``top`` best branches of each tree.
 
-    ``nodes`` has tree_id, node_id (unique), parent_id (null at a root) and
-    score. Self-joins double the length of each node's known way up, so a tree
-    of depth d takes log2(d) rounds. A branch's score is the sum of its nodes'
-    scores (null counts as 0); ties go to the deeper branch, then to the lower
-    leaf. The chosen leaves then walk the saved jumps, again in doubling
-    steps, which writes exactly the rows of the chosen paths.
+    ``nodes`` has tree_id, node_id, parent_id (null at a root) and score; of
+    several rows with one node_id the least (tree_id, parent_id, score) counts.
+    Self-joins double the length of each node's known way up, so a tree of
+    depth d takes log2(d) rounds; a tree whose nodes all have a root leaves the
+    rounds, so what they read shrinks with the trees that go on. A branch's
+    score is the sum of its nodes' scores (null counts as 0); ties go to the
+    deeper branch, then to the lower leaf. The chosen leaves then walk the
+    saved jumps, again in doubling steps, which writes exactly the rows of the
+    chosen paths.
 
     Returns tree_id, leaf_id, branch_rank (from 1), branch_score, depth,
     position (0 at the root), node_id. A parent_id that no node has makes its
     node a root. Nodes whose way up is a cycle have no root and give no path.
-    Every join is on node_id, which is unique, so no tree is too large for a
-    task. An empty table gives no paths.
+    Every join of nodes is on node_id, which is unique by then, so no tree is
+    too large for a task. An empty table gives no paths.
     """
-    base = nodes.select("tree_id", "node_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    known = base.select(F.col("node_id").alias("parent_id"), F.col("node_id").alias("__found"))
-    up = base.join(known, "parent_id", "left").select("tree_id", "node_id", F.col("__found").alias("up"), "score", F.lit(1).cast("long").alias("depth"))
-    up = scratch.save(up, "up0")
-    leaves = up.join(up.select(F.col("up").alias("node_id")).where("node_id is not null").distinct(), "node_id", "left_anti").select("node_id")
-    # Only nodes whose way up has no root yet take part in a round; the others are looked up.
-    jumps, total = [], up.count()
-    ended, going = up.where("up is null"), up.where("up is not null")
-    while going.limit(1).count() and 1 << len(jumps) <= total:
-        jumps.append(going.select("node_id", "up"))
-        far = ended.unionByName(going).select(F.col("node_id").alias("up"), F.col("up").alias("__up"), F.col("score").alias("__score"), F.col("depth").alias("__depth"))
-        longer = going.join(far, "up").select("tree_id", "node_id", F.col("__up").alias("up"), (F.col("score") + F.col("__score")).alias("score"), (F.col("depth") + F.col("__depth")).alias("depth"))
-        longer = scratch.save(longer, f"up{len(jumps)}")
-        ended, going = ended.unionByName(longer.where("up is null")), longer.where("up is not null")
+    one = F.min(F.struct("tree_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
+    base = scratch.save(nodes.where("node_id is not null").groupBy("node_id").agg(one.alias("n")).select("node_id", "n.*"), "nodes")
+    known = base.select(F.col("node_id").alias("parent_id"), F.col("node_id").alias("up"))
+    parents = base.where("parent_id is not null").select(F.col("parent_id").alias("node_id"), F.lit(False).alias("leaf")).distinct()
+    first = base.join(known, "parent_id", "left").join(parents, "node_id", "left")
+    active = first.select("tree_id", "node_id", "up", "score", F.lit(1).cast("long").alias("depth"), F.coalesce("leaf", F.lit(True)).alias("leaf"))
+    active, total, jumps, done = scratch.save(active, "up0"), base.count(), [], []
+    while True:
+        # Trees with a node that is still on its way go on; the others are done.
+        open_ = active.where("up is not null").select(F.col("tree_id").alias("__tree")).distinct()
+        if open_.isEmpty() or 1 << len(jumps) > total:
+            done.append(active)
+            break
+        open_ = scratch.save(open_, "open")
+        goes_on = F.col("tree_id").eqNullSafe(F.col("__tree"))
+        done.append(active.join(open_, goes_on, "left_anti"))
+        if jumps:
+            active = scratch.save(active.join(open_, goes_on, "left_semi"), f"open{len(jumps)}")
+        jumps.append(active.where("up is not null").select("node_id", "up"))
+        far = active.select(F.col("node_id").alias("up"), F.col("up").alias("__up"), F.col("score").alias("__score"), F.col("depth").alias("__depth"))
+        longer = active.join(far, "up", "left").select(
+            "tree_id", "node_id", F.col("__up").alias("up"), (F.col("score") + F.coalesce("__score", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"), "leaf"
+        )
+        active = scratch.save(longer, f"up{len(jumps)}")
+        if len(jumps) == 1:
+            active = active.join(open_, goes_on, "left_semi")  # the trees that were done before this round are counted once
     order = Window.partitionBy("tree_id").orderBy(F.col("score").desc(), F.col("depth").desc(), "node_id")
-    chosen = ended.join(leaves, "node_id", "left_semi").withColumn("branch_rank", F.row_number().over(order)).where(F.col("branch_rank") <= top)
+    ended = done[0]
+    for d in done[1:]:
+        ended = ended.unionByName(d)
+    chosen = ended.where("leaf and up is null").withColumn("branch_rank", F.row_number().over(order)).where(F.col("branch_rank") <= top)
     chosen = scratch.save(chosen.select("tree_id", F.col("node_id").alias("leaf_id"), "branch_rank", F.col("score").alias("branch_score"), "depth"), "chosen")
     path = chosen.select("leaf_id", F.col("leaf_id").alias("node_id"), F.lit(0).cast("long").alias("dist"))
     for k, jump in enumerate(jumps):
@@ -134,7 +152,17 @@ def chain_nodes(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     """
     ranked = ordered_rank(scratch, rows.select("conv_id", "turn", "role", "text"), [F.col(c) for c in ("conv_id", "turn", "role", "text")], "turns", rank="node_id")
     places = scratch.save(ranked.select(F.col("conv_id").alias("tree_id"), "node_id"), "places")
-    before = places.select((F.col("node_id") + 1).alias("node_id"), F.col("tree_id").alias("__tree"))
-    same = F.col("tree_id").eqNullSafe(F.col("__tree"))
+    before = places.select((F.col("node_id") + 1).alias("node_id"), F.col("tree_id").alias("__tree"), F.lit(True).alias("__before"))
+    same = F.col("__before").isNotNull() & F.col("tree_id").eqNullSafe(F.col("__tree"))
     nodes = places.join(before, "node_id", "left").select("tree_id", "node_id", F.when(same, F.col("node_id") - 1).alias("parent_id"), F.lit(0.0).alias("score"))
     return scratch.save(nodes, "nodes"), ranked.select("node_id", "role", "text")
+
+
+def rejected_replies(nodes: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """A second branch for every tree of two or more nodes: nodes and turns of an assistant's reply to the root with a score of -1.
+
+    node_id of ``nodes`` is 0 or more and the root has a tree's lowest, as ``chain_nodes`` gives them.
+    """
+    roots = nodes.groupBy("tree_id").agg(F.min("node_id").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    replies = roots.select("tree_id", (-1 - F.col("root")).alias("node_id"), F.col("root").alias("parent_id"), F.lit(-1.0).alias("score"))
+    return replies, replies.select("node_id", F.lit("assistant").alias("role"), F.lit(text).alias("text"))

@@ -27,7 +27,9 @@ def op2_chat_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(SAYING).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     nodes, turns = chat.chain_nodes(rows, scratch)
-    chats = chat.format_paths(chat.reply_paths(nodes, scratch), turns)
+    # Every conversation gets another, lower branch, so that what comes out is what the ranking chose.
+    replies, texts = chat.rejected_replies(nodes, "a reply that was not chosen")
+    chats = chat.format_paths(chat.reply_paths(nodes.unionByName(replies), scratch), turns.unionByName(texts))
     return chat.read_back(chats).select(
         F.col("tree_id").alias("conv_id"),
         F.size("turns").cast("long").alias("n_turns"),

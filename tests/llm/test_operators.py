@@ -135,6 +135,23 @@ def test_reply_paths_against_a_walk(spark, scratch):
         assert np.isclose(s, sorted(want[t])[k - 1][0])
 
 
+def test_the_query_depends_on_the_ranking(spark, scratch):
+    rows = [(c, t, "user", f"{c} {t}") for c in (1, 2, 3, None) for t in range({1: 1, 2: 2, 3: 9}.get(c, 4))]
+    nodes, turns = chat.chain_nodes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), scratch)
+    replies, texts = chat.rejected_replies(nodes, "no")
+    assert replies.count() == 3
+    paths = chat.reply_paths(nodes.unionByName(replies), scratch, top=2)
+    got = {(r["tree_id"], r["branch_rank"]): [t["text"] for t in r["turns"]] for r in chat.read_back(chat.format_paths(paths, turns.unionByName(texts))).collect()}
+    want = {(c, 1): [r[3] for r in rows if r[0] == c] for c in (1, 2, 3, None)} | {(c, 2): [f"{c} 0", "no"] for c in (2, 3, None)}
+    assert got == want
+
+
+def test_repeated_nodes_count_once(spark, scratch):
+    nodes = [(1, 0, None, 1.0), (1, 1, 0, 2.0), (1, 1, 0, 1.0), (1, 1, 0, 1.0), (1, 2, 1, 0.0), (2, 2, 1, 0.0), (1, None, 0, 9.0)]
+    got = chat.reply_paths(spark.createDataFrame(nodes, "tree_id long, node_id long, parent_id long, score double"), scratch).collect()
+    assert sorted((r["position"], r["node_id"], r["branch_score"]) for r in got) == [(0, 0, 2.0), (1, 1, 2.0), (2, 2, 2.0)]
+
+
 # ---- 3 and 9 trained operators
 
 
