@@ -7,9 +7,11 @@ Any zstandard reader can decompress the whole file; ``SeekableFile`` reads the
 two tables from the end and decompresses just the frames of the documents that
 are asked for. A document lies in one frame.
 
-Files are rows of a table (part, number, data): Spark's own writer commits
-them, so a lost executor or a repeated task leaves no half file, and any store
-that Spark writes to will do.
+Files are rows of a table (part, number, first_doc, last_doc, data): Spark's
+own writer commits them, so a lost executor or a repeated task leaves no half
+file, and any store that Spark writes to will do. Each file is a row group of
+its own, so a reader that asks for some documents is handed only the files
+whose numbers may hold them, and decompresses only their frames.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,8 @@ INDEX_FRAME, INDEX_MAGIC = 0x184D2A50, b"DOCINDX1"
 
 FRAME_IDS = 1 << 15  # a frame ends with the document that reaches this
 FILE_IDS = 1 << 22
+ROW_GROUP = 1 << 20  # bytes from which a row group ends, so each file has its own
+PUSHED = 64  # documents that are asked for by a condition each, which the scan can use
 INDEX = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u4")])
 
 
@@ -88,6 +94,7 @@ class SeekableFile:
         self.dtype = f"<u{body[8]}"
         self.index = np.frombuffer(body[9:], INDEX)
         self._last: tuple[int, np.ndarray] = (-1, np.empty(0))
+        self.bytes_read = 0  # compressed bytes of the frames that were opened
 
     def frame(self, k: int) -> np.ndarray:
         if self._last[0] != k:
@@ -95,6 +102,7 @@ class SeekableFile:
             if len(plain) != self.table[k, 1] or xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF != self.table[k, 2]:
                 raise ValueError(f"frame {k} has another checksum")
             self._last = (k, np.frombuffer(plain, self.dtype))
+            self.bytes_read += int(self.table[k, 0])
         return self._last[1]
 
     def __len__(self) -> int:
@@ -118,13 +126,20 @@ def crc_of_ids(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def write_files(tokens: DataFrame, scratch: Scratch, dtype: str, file_ids: int = FILE_IDS) -> DataFrame:
-    """The files of a table (doc_id, n_tokens, ids), documents in ascending doc_id order over (part, number).
+def ascending(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and text, dealt and sorted by doc_id, nulls first.
 
-    Nulls come first; rows with one doc_id are ordered by length and by their
-    row in ``tokens``. The range exchange splits such ties, so a repeated
-    doc_id is no task of its own.
+    Rows of one doc_id are ordered by a hash of their texts. The range exchange
+    splits ties by a row number, so a repeated doc_id is no task of its own.
     """
+    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    sort = [F.col("doc_id").asc_nulls_first(), F.col("__h"), F.col("__uid")]
+    dealt = slim.withColumns({"__h": F.xxhash64("text"), "__uid": F.monotonically_increasing_id()})
+    return dealt.repartitionByRange(*sort).sortWithinPartitions(*sort).select("doc_id", "text")
+
+
+def write_files(tokens: DataFrame, scratch: Scratch, dtype: str, file_ids: int = FILE_IDS) -> DataFrame:
+    """The files of a table (doc_id, n_tokens, ids) that is dealt and sorted already; documents keep their order over (part, number)."""
     width = int(dtype[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,9 +160,36 @@ def write_files(tokens: DataFrame, scratch: Scratch, dtype: str, file_ids: int =
         if rows:
             yield row()
 
-    sort = [F.col("doc_id").asc_nulls_first(), F.col("n_tokens"), F.col("__uid")]
-    dealt = tokens.withColumn("__uid", F.monotonically_increasing_id()).repartitionByRange(*sort).sortWithinPartitions(*sort)
-    return scratch.save(dealt.select("doc_id", "ids").mapInArrow(run, FILES), "files")
+    # The size of a row group is looked at from the first row on, as files are large.
+    return scratch.save(tokens.select("doc_id", "ids").mapInArrow(run, FILES), "files", **{"parquet.block.size": str(ROW_GROUP), "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1"})
+
+
+def read_documents(files: DataFrame, doc_ids: Iterable[int]) -> DataFrame:
+    """The documents with these numbers: doc_id, n_tokens, ids (four bytes each) and frame_bytes, the compressed bytes that were opened for its file's documents.
+
+    The files are pruned by their first and last doc_id, by the scan where the
+    list is short, and in each file only the frames of the documents asked for
+    are decompressed. Numbers that no document has give no row.
+    """
+    wanted = np.unique(np.array([int(i) for i in doc_ids], np.int64))
+    if not len(wanted):
+        return files.sparkSession.createDataFrame([], "doc_id long, n_tokens long, ids binary, frame_bytes long")
+    may = (F.col("first_doc") <= int(wanted[-1])) & (F.col("last_doc") >= int(wanted[0]))
+    if len(wanted) <= PUSHED:
+        may &= reduce(or_, ((F.col("first_doc") <= int(i)) & (F.col("last_doc") >= int(i)) for i in wanted))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("frame_bytes", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0):
+                f = SeekableFile(data.as_py())
+                at = np.flatnonzero(np.isin(f.index["doc_id"], wanted) & (f.index["null"] == 0))
+                docs = [f.document(int(i)) for i in at]
+                if docs:
+                    cols = [[k for k, _ in docs], [len(x) for _, x in docs], [x.astype("<u4").tobytes() for _, x in docs], [f.bytes_read] * len(docs)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(cols, schema)], schema=schema)
+
+    return files.where(may).select("data").mapInArrow(run, "doc_id long, n_tokens long, ids binary, frame_bytes long")
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -171,11 +213,10 @@ def read_files(files: DataFrame) -> DataFrame:
 
 
 def encode_corpus(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 1) -> DataFrame:
-    """Tokenize every text, write the files and return the table of files.
+    """Sort the texts by doc_id, tokenize them where they then are, write the files and return the table of files.
 
     Null text counts as empty and gives the end id alone. A null doc_id is
-    kept. Texts and words are encoded once; the ids are then sorted, two bytes
-    each, not the texts. An empty table gives no files.
+    kept; repeated rows stay. Texts move once and ids never do. An empty table
+    gives no files.
     """
-    tokens = scratch.save(tokenize(docs, tokenizer, end_id), "tokens")
-    return write_files(tokens, scratch, id_dtype(tokenizer))
+    return write_files(tokenize(ascending(docs), tokenizer, end_id), scratch, id_dtype(tokenizer))

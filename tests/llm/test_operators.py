@@ -452,16 +452,35 @@ def test_seekable_file_reads_only_the_frames_it_needs():
 def test_token_files_odd_rows(spark, scratch, monkeypatch):
     df, rows = odd_documents(spark)
     for size in (zframes.FILE_IDS, 20):
-        tok = scratch.save(tokens.tokenize(df, PATH))
-        got = zframes.read_files(zframes.write_files(tok, scratch, "<u2", file_ids=size)).toPandas().sort_values("start")
+        tok = tokens.tokenize(zframes.ascending(df), PATH)
+        files = zframes.write_files(tok, scratch, "<u2", file_ids=size)
+        got = zframes.read_files(files).toPandas().sort_values("start")
         ids = brute_ids([r[1] for r in rows])
         assert Counter(got.ids_crc32) == Counter(zframes.crc_of_ids(x) for x in ids)
         assert got.start.tolist() == [0, *np.cumsum(got.n_tokens)[:-1]] and got.n_tokens.sum() == sum(map(len, ids))
         keys = got.doc_id.tolist()
         assert np.isnan(keys[:2]).all() and keys[2:] == sorted(keys[2:])
+        picked = zframes.read_documents(files, [1, 8, 99]).collect()
+        assert Counter((r["doc_id"], r["ids"]) for r in picked) == Counter((r[0], x.tobytes()) for r, x in zip(rows, ids) if r[0] in (1, 8))
     assert zframes.read_files(zframes.encode_corpus(empty(df), scratch, PATH)).count() == 0
 
 
+def test_only_the_files_and_frames_asked_for_are_read(spark, scratch):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("word "), F.col("id").cast("string")), 30).alias("text"))
+    files = zframes.write_files(tokens.tokenize(zframes.ascending(docs), PATH), scratch, "<u2", file_ids=20_000)
+    got = zframes.read_documents(files, [17, 3990])
+    plan = got._jdf.queryExecution().toString()
+    assert "LessThanOrEqual(first_doc,3990)" in plan.split("PushedFilters: ")[1]
+    rows = got.collect()
+    ids = dict(zip((17, 3990), brute_ids(["word 17" * 30, "word 3990" * 30])))
+    assert {r["doc_id"]: r["ids"] for r in rows} == {k: v[:].tobytes() for k, v in ids.items()}
+    whole = files.agg(F.sum(F.octet_length("data"))).first()[0]
+    may = files.where("(first_doc <= 17 and last_doc >= 17) or (first_doc <= 3990 and last_doc >= 3990)").count()
+    assert files.count() > 10 and may == 2 and sum(r["frame_bytes"] for r in rows) < whole / 4
+    assert zframes.read_documents(files, []).count() == 0
+    assert zframes.read_documents(files, range(100, 300)).count() == 200
+
+
 def test_packing_odd_rows(spark, scratch):
     df, rows = odd_documents(spark)
     lengths = defaultdict(list)
