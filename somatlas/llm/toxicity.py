@@ -81,19 +81,26 @@ class Vectors:
 
 
 class NearestExamples:
-    """Block-max inverted index over unit TF-IDF vectors of the examples."""
+    """Block-max inverted index over unit TF-IDF vectors of the examples.
+
+    Postings (slot, impact) are sorted by term and block; ``begin`` tells where
+    those of a term and block begin, ``largest`` their largest impact.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray):
         self.idf = idf
         rows = [self.unit(*v) for v in vectors]
         # Similar examples share blocks: they are ordered by their weightiest term.
         self.order = np.array(sorted(range(len(rows)), key=lambda i: (int(rows[i][0][rows[i][1].argmax()]) if len(rows[i][0]) else -1, i)), np.int64)
-        n_blocks = -(-len(rows) // BLOCK)
-        self.impacts = np.zeros((n_blocks, len(idf), BLOCK))
-        for slot, i in enumerate(self.order):
-            at, w = rows[i]
-            self.impacts[slot // BLOCK, at, slot % BLOCK] = w
-        self.largest = self.impacts.max(2).T.copy() if n_blocks else np.zeros((len(idf), 0))
+        self.blocks = -(-len(rows) // BLOCK)
+        term = np.concatenate([np.empty(0, np.int64), *(rows[i][0] for i in self.order)])
+        slot = np.repeat(np.arange(len(rows)), [len(rows[i][0]) for i in self.order])
+        impact = np.concatenate([np.empty(0), *(rows[i][1] for i in self.order)])
+        sort = np.lexsort((slot, term))
+        term, self.slot, self.impact = term[sort], slot[sort], impact[sort]
+        self.begin = np.searchsorted(term * self.blocks + self.slot // BLOCK, np.arange(len(idf) * self.blocks + 1))
+        self.largest = np.zeros((len(idf), self.blocks))
+        np.maximum.at(self.largest, (term, self.slot // BLOCK), self.impact)
 
     def unit(self, at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = tf * self.idf[at]
@@ -112,10 +119,13 @@ class NearestExamples:
             opened = opened[bound[opened] >= kth - 2e-9]
             if not len(opened):
                 break
-            s = np.matmul(w, self.impacts[opened[:, None], at[None, :]])
-            row, near = np.nonzero((s > 0) & (s >= kth - 2e-9))
-            i = self.order[opened[row] * BLOCK + near]
-            ids, sims = np.concatenate([ids, i[i != but]]), np.concatenate([sims, s[row, near][i != but]])
+            cell = (at[:, None] * self.blocks + opened[None, :]).ravel()
+            first, n = self.begin[cell], self.begin[cell + 1] - self.begin[cell]
+            posting = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            s = np.bincount(self.slot[posting], np.repeat(np.repeat(w, len(opened)), n) * self.impact[posting], len(self.order))
+            near = np.flatnonzero((s > 0) & (s >= kth - 2e-9))
+            i = self.order[near]
+            ids, sims = np.concatenate([ids, i[i != but]]), np.concatenate([sims, s[near][i != but]])
             best = np.lexsort((ids, -np.round(sims, 9)))[:k]
             ids, sims = ids[best], sims[best]
             kth = float(sims[-1]) if len(ids) == k else 0.0

@@ -177,6 +177,53 @@ def test_neighbours_are_the_exact_ones():
             assert ids.tolist() == order and np.allclose(got, sims[order])
 
 
+def test_postings_are_sparse():
+    rng = np.random.default_rng(2)
+    vectors = [(np.sort(rng.choice(900, 6, replace=False)), np.ones(6)) for _ in range(500)]
+    index = toxicity.NearestExamples(vectors, np.ones(900))
+    assert len(index.slot) == len(index.impact) == 3000 and index.largest.shape == (900, 8)
+
+
+def test_scores_against_a_plain_vote():
+    rng = random.Random(4)
+    words = ["vile", "nasty", "cruel", *(f"calm{i}" for i in range(12))]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 9))) for _ in range(90)]
+    texts += texts[:20]
+    y = np.array([int(any(w in t for w in words[:3]) and rng.random() < 0.9) for t in texts])
+    vectors = toxicity.Vectors([f"<{w}>" for w in words])
+    idf = np.linspace(1, 3, len(words) + 1)
+    totals = {0: 700, 1: 50}
+    scorer = toxicity.Scorer(list(range(len(texts))), texts, y, totals, vectors, idf)
+
+    def unit(t):
+        at, tf = vectors(t)
+        v = np.zeros(len(idf))
+        v[at] = tf * idf[at]
+        return v / np.linalg.norm(v)
+
+    share = np.array([totals[k] / (y == k).sum() for k in y])
+    share /= share.sum()
+    units = [unit(t) for t in texts]
+    for t in [*texts[:30], "calm1 vile unknown", "", "nasty nasty nasty"]:
+        groups_ = {}
+        for i, u in enumerate(units):  # examples with one vector are one entry
+            groups_.setdefault(tuple(np.round(u, 9)), []).append(i)
+        ranked = sorted(groups_.values(), key=lambda g: (-round(float(units[g[0]] @ unit(t)), 9), g[0]))
+        left, top, total = toxicity.NEIGHBOURS, 0.0, 0.0
+        for g in ranked:
+            sim = float(units[g[0]] @ unit(t))
+            if left <= 0 or sim <= 0:
+                break
+            use = min(left, len(g)) / len(g)
+            near = use / (toxicity.NEAR + max(0.0, 1 - sim))
+            top += near * sum(share[i] * y[i] for i in g)
+            total += near * sum(share[i] for i in g)
+            left -= len(g)
+        vote = top / total if total else 0.0
+        a, b = scorer.curve
+        assert np.isclose(scorer.score(t)[0], 1 / (1 + np.exp(-(a * vote + b))), atol=1e-9), t
+
+
 def test_calibration_is_safe():
     rng = np.random.default_rng(0)
     for votes, y in ((np.full(60, 0.1), np.arange(60) % 10 == 0), (np.where(np.arange(60) % 10 == 0, 0.09, 0.11), np.arange(60) % 10 == 0), (rng.random(60), np.arange(60) % 10 == 0)):
