@@ -25,9 +25,11 @@ _ROW_BITS = 33  # monotonically_increasing_id() keeps the row number in its low
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the session names; a fresh local one only where none is named."""
+    """The shared folder that the session names; where none is named, a fresh one of this machine, if Spark runs on this machine alone."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="somatlas-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
