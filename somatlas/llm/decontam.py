@@ -1,6 +1,6 @@
 """Benchmark decontamination by suffix arrays over the training text.
 
-Each task cuts its documents into shards of about a million words and builds a
+Each task cuts its documents into shards of about half a million words and builds a
 suffix array of each: words become numbers of the benchmark's vocabulary, runs
 of known words too short for any window are left out (they can't match), and
 the rest is sorted by prefix doubling. Every suffix of the benchmark is then
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from somatlas.runtime import Scratch
 
 WINDOW = 13
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 1 << 19
 MAX_BROADCAST = 4 << 20  # bytes of benchmark text for one pass over the documents
 AT_ONCE = 1 << 16  # windows, or matches, that are looked at together
 # Word bytes: digits, letters (made lower case) and whatever is not ASCII; all others are blanks.

@@ -39,6 +39,7 @@ NEXT = 8  # how many of the sets after it, in a bucket, a set is compared to at
 CHUNK = 1 << 16  # rows that are looked at together
 BLOCK = 2048  # rows of a large bucket that are compared to as many others in one go
 PAIRS = 1 << 16  # rows of a batch
+TEXTS = 512  # texts whose sets are in memory together
 FILTER_BITS = 1 << 25  # at most, of the filter that names rows
 
 
@@ -74,6 +75,13 @@ def prefix_of(s: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity:
     return s[np.argsort(np.where(common[at] == s, counts[at], 0), kind="stable")[:n]]
 
 
+def some_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of TEXTS rows, so that no task holds the sets of a whole batch."""
+    for b in batches:
+        for at in range(0, b.num_rows, TEXTS):
+            yield b.slice(at, TEXTS)
+
+
 def common_shingles(keyed: DataFrame, n: int, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that more than one document of a bounded sample holds, sorted, and in how many; at most COMMON. ``keyed`` has f, r and text, and about ``n`` rows."""
 
@@ -228,7 +236,7 @@ def similar(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, scratch: Scrat
     places = scratch.save(nodes.join(wanted, "id", "left_semi").select("id", F.col("first.f").alias("f"), F.col("first.r").alias("r")), "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in some_texts(batches):
             sets = pa.array([shingles(t.as_py(), size).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), sets], names=["id", "s"])
 
@@ -281,7 +289,7 @@ def keep_representatives(docs: DataFrame, scratch: Scratch, size: int = SHINGLE,
     order = sc.broadcast(common_shingles(keyed.select("f", "r", "text"), docs.count(), size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in some_texts(batches):
             sets = [shingles(t.as_py(), size) for t in b.column(4)]
             whole_hash = lambda make: pa.array(np.array([make(s) for s in sets], np.uint64).view(np.int64))
             prefix = pa.array([prefix_of(s, *order.value, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
