@@ -74,7 +74,9 @@ def lower_names(headers: Column) -> Column:
     names = F.array_distinct(F.transform(entries, lambda e: F.lower(F.trim(e["key"]))))
     values = lambda n: F.filter(F.transform(F.filter(entries, lambda e: F.lower(F.trim(e["key"])) == n), lambda e: e["value"]), lambda v: v.isNotNull())
     joined = F.transform(names, lambda n: F.when(F.size(values(n)) > 0, F.array_join(values(n), ", ")))
-    return F.coalesce(F.map_from_arrays(names, joined), F.expr("map()").cast("map<string,string>"))
+    plain = F.transform_keys(headers, lambda k, v: F.lower(F.trim(k)))  # where no field comes twice, which is nearly always
+    out = F.when(F.size(names) == F.size(headers), plain).otherwise(F.map_from_arrays(names, joined))
+    return F.coalesce(out, F.expr("map()").cast("map<string,string>"))
 
 
 def merge_headers(stored: Column, answer: Column) -> Column:
