@@ -41,6 +41,7 @@ BLOCK = 2048  # rows of a large bucket that are compared to as many others in on
 PAIRS = 1 << 16  # rows of a batch
 TEXTS = 512  # texts whose sets are in memory together
 FILTER_BITS = 1 << 25  # at most, of the filter that names rows
+CELL_BITS = 1 << 13  # at most, of the sketches that the rows of large buckets carry
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -63,6 +64,12 @@ def sketches_apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def shorter_sketch(s: bytes, bits: int = CELL_BITS) -> bytes:
+    """The sketch folded to at most ``bits`` bits: it still never differs from another in more bits than there are members that only one set has."""
+    x = np.frombuffer(s, np.uint64)
+    return s if len(x) <= bits // 64 else np.bitwise_xor.reduce(x.reshape(-1, bits // 64), axis=0).tobytes()
+
+
 def prefix_of(s: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: tuple[int, int] = SIMILARITY) -> np.ndarray:
     """The set's first shingles in the order by (count, hash); ``common`` is sorted and has ``counts``, all others count 0."""
     if not len(s):
@@ -138,21 +145,39 @@ def _first_pairs(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int])
 
 
 def _cell_pairs(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, side, n, id, place, root), sorted by the first three: all pairs of the two sides of a cell that can be similar and are of two components.
+    """Rows (cell, side, n, id, place, root, sketch), sorted by the first three: the pairs of the two sides of a cell that can be similar and are of two components.
 
-    A cell has at most two blocks of rows. A block that meets itself has one side only.
+    A cell has at most two blocks of rows. A block that meets itself has one
+    side only. Sketches are compared here, so that the pairs of a bucket that
+    they rule out never become rows.
     """
     p, q = similarity
 
-    def pairs(side, n, ids, place, root) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(side, n, ids, place, root, sketches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         cut = int(np.searchsorted(side, 1))
         one = cut in (0, len(side))
+        words, at = np.array([len(s) // 8 for s in sketches]), np.empty(len(sketches), np.int64)
+        tables = {}
+        for w in np.unique(words).tolist():
+            rows = np.flatnonzero(words == w)
+            at[rows] = np.arange(len(rows))
+            tables[w] = np.frombuffer(b"".join(sketches[rows]), np.uint64).reshape(-1, w)
+
+        def near(i: int, j: np.ndarray) -> np.ndarray:
+            gap = np.empty(len(j), np.int64)
+            for w in np.unique(words[j]).tolist():
+                of, c = words[j] == w, min(w, int(words[i]))
+                mine = np.bitwise_xor.reduce(tables[int(words[i])][at[i]].reshape(-1, c), axis=0)
+                theirs = np.bitwise_xor.reduce(tables[w][at[j[of]]].reshape(int(of.sum()), -1, c), axis=1)
+                gap[of] = np.bitwise_count(theirs ^ mine).sum(1)
+            return j[gap * (p + q) <= (n[i] + n[j]) * (q - p)]
+
         for i in range(1 if one else 0, len(side) if one else cut):
             low, end = (0, i) if one else (cut, len(side))  # sides are sorted by n
             low += int(np.searchsorted(n[low:end], -(-p * n[i] // q)))
             end = low + int(np.searchsorted(n[low:end], q * n[i] // p, "right"))
             j = np.arange(low, end)
-            j = j[(root[j] != root[i]) & possible(n, place, i, j, similarity)]
+            j = near(i, j[(root[j] != root[i]) & possible(n, place, i, j, similarity)])
             if len(j):
                 yield np.maximum(ids[j], ids[i]), np.minimum(ids[j], ids[i])
 
@@ -174,8 +199,18 @@ def _cell_pairs(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["a", "b"])
 
 
-def other_pairs(large: DataFrame, scratch: Scratch, similarity: tuple[int, int], block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of rows (token, n, id, place, root) with one token and two roots that can be similar.
+def cell_sketches(nodes: DataFrame) -> DataFrame:
+    """id and sketch of the nodes, the sketch of at most CELL_BITS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shorter_sketch(s.as_py()) for s in b.column(1)], pa.binary())], names=["id", "sketch"])
+
+    return nodes.select("id", "sketch").mapInArrow(run, "id long, sketch binary")
+
+
+def other_pairs(large: DataFrame, scratch: Scratch, similarity: tuple[int, int], block: int = BLOCK, sketches: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of rows (token, n, id, place, root) with one token and two roots that can be similar, as far as ``sketches`` (id, sketch) tell.
 
     All rows are ranked by (token, root, n) and cut into blocks; two blocks of
     a token meet in a cell unless they are of one component or their sizes
@@ -195,6 +230,7 @@ def other_pairs(large: DataFrame, scratch: Scratch, similarity: tuple[int, int],
     )
     cells = scratch.save(cells.select("token", cell, F.explode(sides).alias("s")).select("token", "cell", "s.side", "s.block"), "cells")
     dealt = ranked.join(cells, ["token", "block"]).select("cell", "side", "n", "id", "place", "root")
+    dealt = dealt.join(sketches, "id").select(*dealt.columns, "sketch") if sketches is not None else dealt.withColumn("sketch", F.lit(bytes(8)))
     return dealt.repartition("cell").sortWithinPartitions("cell", "side", "n", "id").mapInArrow(lambda it: _cell_pairs(it, similarity), "a long, b long").distinct()
 
 
@@ -325,7 +361,7 @@ def keep_representatives(docs: DataFrame, scratch: Scratch, size: int = SHINGLE,
     rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left").where(apart).select("a", "b")
     large = found.where("kind = 1").select("token", "n", F.col("a").alias("id"), F.col("b").alias("place"))
     large = large.join(root("id"), "id", "left").select("token", "n", "id", "place", F.coalesce("root_id", "id").alias("root"))
-    others = other_pairs(large, scratch, similarity).join(tried, ["a", "b"], "left_anti")
+    others = other_pairs(large, scratch, similarity, sketches=cell_sketches(nodes)).join(tried, ["a", "b"], "left_anti")
     others = scratch.save(rest.unionByName(prune(others, nodes, similarity).select("a", "b")), "other_pairs")
     if not others.isEmpty():
         links = links.unionByName(similar(others, nodes, keyed, scratch, size, similarity))
