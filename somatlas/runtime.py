@@ -21,6 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Rows and bytes of the batches that go to Python workers, where the session names none: Spark's own 10,000 rows of long texts
+# are hundreds of megabytes outside the heap, in every task.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 _ROW_BITS = 33  # monotonically_increasing_id() keeps the row number in its low 33 bits
 
 
@@ -37,7 +40,10 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each context. The driver serves the archive, so no folder is shared."""
+    """Send this package to the executors' Python workers, once for each context, and bound the batches they get. The driver serves the archive, so no folder is shared."""
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     sc = spark.sparkContext
     if getattr(sc, "_somatlas_shipped", False):
         return
