@@ -132,3 +132,23 @@ def test_rows_of_one_number_do_not_depend_on_their_order(spark):
         kept = nearsets.keep_representatives(scratch.save(spark.createDataFrame(order, DOCS).repartition(3)), scratch)
         got.add(tuple(sorted(map(tuple, kept.collect()))))
     assert len(got) == 1
+
+
+@pytest.mark.parametrize("bits", [64, nearsets.CELL_BITS])
+def test_sketches_in_cells_lose_no_similar_pair(spark, monkeypatch, bits):
+    rng, sets = np.random.default_rng(5), []
+    for n in (30, 70, 300):
+        for _ in range(8):
+            whole = rng.integers(0, 2**64, n, dtype=np.uint64)
+            sets += [np.unique(whole), np.unique(np.append(whole[: n - n // 12], rng.integers(0, 2**64, n // 12, dtype=np.uint64)))]
+    folded = [nearsets.shorter_sketch(nearsets.sketch(s), bits) for s in sets]
+    assert max(map(len, folded)) <= max(8, bits // 8)
+    large = spark.createDataFrame([(1, len(s), i, 0, i) for i, s in enumerate(sets)], "token long, n long, id long, place long, root long")
+    sketches = spark.createDataFrame([(i, bytearray(s)) for i, s in enumerate(folded)], "id long, sketch binary")
+    pairs = nearsets.other_pairs(large, Scratch(spark, "test"), (4, 5), 8, sketches)
+    got = {(r["a"], r["b"]) for r in pairs.collect()}
+    similar = {(j, i) for i, j in combinations(range(len(sets)), 2) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+    gaps = {(j, i): nearsets.sketches_apart(folded[i], folded[j]) for i, j in combinations(range(len(sets)), 2)}
+    sizes = {(j, i): (len(sets[j]), len(sets[i])) for j, i in gaps}
+    assert len(similar) >= 20 and similar <= got
+    assert got == {k for k, g in gaps.items() if 9 * g <= sum(sizes[k]) and 5 * min(sizes[k]) >= 4 * max(sizes[k])}
