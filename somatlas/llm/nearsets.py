@@ -14,7 +14,11 @@ number of them has it. Two sketches never differ in more bits than there are
 shingles that only one set has, so a pair whose sketches differ in too many is
 given up without its sets, and no link is lost. What is left is checked on the
 whole sets: first the nearest candidate of each set, then only pairs that are
-not in one component yet. Equal sets are one node, so copies cost no pairs.
+not in one component yet. The rows of a large bucket are compared in cells of
+two blocks, where no pair becomes a row: first each row gives the nearest one
+of another component, and what is still apart after those have been checked
+meets again with whole sets and gives the links that join it. Equal sets are
+one node, so copies cost no pairs.
 """
 
 from __future__ import annotations
@@ -42,6 +46,8 @@ PAIRS = 1 << 16  # rows of a batch
 TEXTS = 512  # texts whose sets are in memory together
 FILTER_BITS = 1 << 25  # at most, of the filter that names rows
 CELL_BITS = 1 << 13  # at most, of the sketches that the rows of large buckets carry
+MEMBERS = 1 << 20  # of all sets of a block whose rows carry whole sets
+LINKED = 256  # sets that another one is compared to at once
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -144,59 +150,114 @@ def _first_pairs(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int])
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "token", "n", "a", "b"])
 
 
-def _cell_pairs(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, side, n, id, place, root, sketch), sorted by the first three: the pairs of the two sides of a cell that can be similar and are of two components.
-
-    A cell has at most two blocks of rows. A block that meets itself has one
-    side only. Sketches are compared here, so that the pairs of a bucket that
-    they rule out never become rows.
-    """
-    p, q = similarity
-
-    def pairs(side, n, ids, place, root, sketches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        cut = int(np.searchsorted(side, 1))
-        one = cut in (0, len(side))
-        words, at = np.array([len(s) // 8 for s in sketches]), np.empty(len(sketches), np.int64)
-        tables = {}
-        for w in np.unique(words).tolist():
-            rows = np.flatnonzero(words == w)
-            at[rows] = np.arange(len(rows))
-            tables[w] = np.frombuffer(b"".join(sketches[rows]), np.uint64).reshape(-1, w)
-
-        def near(i: int, j: np.ndarray) -> np.ndarray:
-            gap = np.empty(len(j), np.int64)
-            for w in np.unique(words[j]).tolist():
-                of, c = words[j] == w, min(w, int(words[i]))
-                mine = np.bitwise_xor.reduce(tables[int(words[i])][at[i]].reshape(-1, c), axis=0)
-                theirs = np.bitwise_xor.reduce(tables[w][at[j[of]]].reshape(int(of.sum()), -1, c), axis=1)
-                gap[of] = np.bitwise_count(theirs ^ mine).sum(1)
-            return j[gap * (p + q) <= (n[i] + n[j]) * (q - p)]
-
-        for i in range(1 if one else 0, len(side) if one else cut):
-            low, end = (0, i) if one else (cut, len(side))  # sides are sorted by n
-            low += int(np.searchsorted(n[low:end], -(-p * n[i] // q)))
-            end = low + int(np.searchsorted(n[low:end], q * n[i] // p, "right"))
-            j = np.arange(low, end)
-            j = near(i, j[(root[j] != root[i]) & possible(n, place, i, j, similarity)])
-            if len(j):
-                yield np.maximum(ids[j], ids[i]), np.minimum(ids[j], ids[i])
-
-    held, count, open_ = [], 0, []
-    for cols in chunks(batches, 4 * BLOCK):
+def _cells(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.ndarray]]:
+    """The columns after the first of one cell at a time, of rows sorted by cell; about ``rows`` rows are read at once."""
+    open_: list[list[np.ndarray]] = []
+    for cols in chunks(batches, rows):
         cols = [np.concatenate(x) for x in zip(*open_, cols)]
-        ends = [*(np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1).tolist()]
+        ends = (np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1).tolist()
         for at, end in zip([0, *ends], ends):
-            for a, b in pairs(*(c[at:end] for c in cols[1:])):
-                held.append((a, b))
-                count += len(a)
-                if count >= PAIRS:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["a", "b"])
-                    held, count = [], 0
+            yield [c[at:end] for c in cols[1:]]
         open_ = [[c[ends[-1] if ends else 0 :] for c in cols]]
     if open_:
-        held += pairs(*(c for c in open_[0][1:]))
+        yield open_[0][1:]
+
+
+def _near_in_cell(side, n, place, root, sketches, similarity: tuple[int, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row i of a cell the rows j before it that it must be compared to and that their sketches don't rule out, and in how many bits those differ.
+
+    A cell has at most two blocks of rows, sorted by n. A block that meets
+    itself has one side only. ``root`` is read again for each i, so that pairs
+    whose components the caller joins meanwhile are left out.
+    """
+    p, q = similarity
+    cut = int(np.searchsorted(side, 1))
+    one = cut in (0, len(side))
+    words, at = np.array([len(s) // 8 for s in sketches]), np.empty(len(sketches), np.int64)
+    tables = {}
+    for w in np.unique(words).tolist():
+        rows = np.flatnonzero(words == w)
+        at[rows] = np.arange(len(rows))
+        tables[w] = np.frombuffer(b"".join(sketches[rows]), np.uint64).reshape(-1, w)
+    for i in range(1 if one else 0, len(side) if one else cut):
+        low, end = (0, i) if one else (cut, len(side))
+        low += int(np.searchsorted(n[low:end], -(-p * n[i] // q)))
+        end = low + int(np.searchsorted(n[low:end], q * n[i] // p, "right"))
+        j = np.arange(low, end)
+        j = j[(root[j] != root[i]) & possible(n, place, i, j, similarity)]
+        gap = np.empty(len(j), np.int64)
+        for w in np.unique(words[j]).tolist():
+            of, c = words[j] == w, min(w, int(words[i]))
+            mine = np.bitwise_xor.reduce(tables[int(words[i])][at[i]].reshape(-1, c), axis=0)
+            theirs = np.bitwise_xor.reduce(tables[w][at[j[of]]].reshape(int(of.sum()), -1, c), axis=1)
+            gap[of] = np.bitwise_count(theirs ^ mine).sum(1)
+        ok = gap * (p + q) <= (n[i] + n[j]) * (q - p)
+        if ok.any():
+            yield i, j[ok], gap[ok]
+
+
+def _batch(held: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=names)
+
+
+def _cell_pairs(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, side, n, id, place, root, token, sketch), sorted by the first three: all pairs of a cell that can be similar and are of two components."""
+    held, count = [], 0
+    for side, n, ids, place, root, _, sketches in _cells(batches, 4 * BLOCK):
+        for i, j, _ in _near_in_cell(side, n, place, root, sketches, similarity):
+            held.append((np.maximum(ids[j], ids[i]), np.minimum(ids[j], ids[i])))
+            count += len(j)
+            if count >= PAIRS:
+                yield _batch(held, ["a", "b"])
+                held, count = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["a", "b"])
+        yield _batch(held, ["a", "b"])
+
+
+NEAREST = "token long, n long, id long, place long, other long, gap long"
+
+
+def _cell_nearest(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``_cell_pairs`` that are in one of its pairs, each once in a cell, with the nearest that they are paired with."""
+    for side, n, ids, place, root, token, sketches in _cells(batches, 4 * BLOCK):
+        least, other = np.full(len(n), np.iinfo(np.int64).max), np.empty(len(n), np.int64)
+        for i, j, gap in _near_in_cell(side, n, place, root, sketches, similarity):
+            k = int(gap.argmin())
+            if gap[k] < least[i]:
+                least[i], other[i] = gap[k], ids[j[k]]
+            closer = gap < least[j]
+            least[j[closer]], other[j[closer]] = gap[closer], ids[i]
+        of = least < np.iinfo(np.int64).max
+        if of.any():
+            yield _batch([tuple(c[of] for c in (token, n, ids, place, other, least))], ["token", "n", "id", "place", "other", "gap"])
+
+
+def _cell_links(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, side, n, id, place, root, token, set), sorted by the first three: similar pairs, compared by the whole sets, that join what all similar pairs of a cell join.
+
+    A pair joins two components that nothing in the cell has joined before, so
+    a cell gives fewer pairs than it has rows.
+    """
+    p, q = similarity
+    for side, n, ids, place, root, _, sets in _cells(batches, 1):
+        root, sets = root.copy(), [s.view(np.uint64) for s in sets]
+        sketches, held = np.empty(len(sets), object), []
+        for k, s in enumerate(sets):
+            sketches[k] = sketch(s)
+        for i, j, _ in _near_in_cell(side, n, place, root, sketches, similarity):
+            while len(j):
+                now, j = j[:LINKED], j[LINKED:]
+                both = np.concatenate([sets[k] for k in now.tolist()])
+                hit = sets[i][np.minimum(np.searchsorted(sets[i], both), n[i] - 1)] == both
+                shared = np.add.reduceat(hit.astype(np.int64), np.cumsum(n[now]) - n[now])
+                now = now[shared * (p + q) >= p * (n[i] + n[now])]
+                roots, at = np.unique(root[now], return_index=True)
+                if len(roots):
+                    held.append((np.maximum(ids[now[at]], ids[i]), np.minimum(ids[now[at]], ids[i])))
+                    root[np.isin(root, roots)] = root[i]
+                    j = j[root[j] != root[i]]
+        if held:
+            yield _batch(held, ["a", "b"])
 
 
 def cell_sketches(nodes: DataFrame) -> DataFrame:
@@ -209,18 +270,25 @@ def cell_sketches(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "sketch").mapInArrow(run, "id long, sketch binary")
 
 
-def other_pairs(large: DataFrame, scratch: Scratch, similarity: tuple[int, int], block: int = BLOCK, sketches: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) of rows (token, n, id, place, root) with one token and two roots that can be similar, as far as ``sketches`` (id, sketch) tell.
+def in_cells(large: DataFrame, scratch: Scratch, similarity: tuple[int, int], block: int, members: int | None = None) -> DataFrame:
+    """The rows (token, n, id, place, root) as rows (cell, side, n, id, place, root, token): two rows of a token meet in a cell unless they are of one component or their sizes are too far apart.
 
     All rows are ranked by (token, root, n) and cut into blocks; two blocks of
-    a token meet in a cell unless they are of one component or their sizes
-    are too far apart. So no task gets more of a bucket than two blocks.
+    a token meet in a cell. So no task gets more of a bucket than two blocks.
+    With ``members`` rows of sizes of as many bits are ranked together, and
+    the sets of a block have at most so many members in all, if it has not one.
     """
     p, q = similarity
-    ranked = ordered_rank(scratch, scratch.save(large, "large"), [F.col(c) for c in ("token", "root", "n", "id")], "ranked").withColumn("block", F.expr(f"__rank div {block}"))
-    blocks = ranked.groupBy("token", "block").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.count(F.lit(1)).alias("rows"))
+    kind, rows = F.lit(0), F.lit(block)
+    if members:
+        kind = F.length(F.bin("n"))
+        rows = F.greatest(F.lit(1), F.least(F.lit(block), F.expr(f"{members} div shiftleft(1L, kind)")))
+    kinds = scratch.save(large.withColumn("kind", kind), "large")
+    ranked = ordered_rank(scratch, kinds, [F.col(c) for c in ("kind", "token", "root", "n", "id")], "ranked")
+    ranked = ranked.withColumn("block", F.expr("shiftleft(bigint(kind), 48)") + F.floor(F.col("__rank") / rows))
+    blocks = ranked.groupBy("token", "block").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
     blocks = scratch.save(blocks.withColumn("one", F.col("r0") == F.col("r1")), "blocks")
-    x, y = (blocks.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "r0", "n0", "n1", "rows", "one"))) for k in "xy")
+    x, y = (blocks.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "r0", "n0", "n1", "one"))) for k in "xy")
     apart = ~(F.col("one_x") & F.col("one_y") & (F.col("r0_x") == F.col("r0_y")))
     near = (q * F.col("n1_x") >= p * F.col("n0_y")) & (q * F.col("n1_y") >= p * F.col("n0_x"))
     cells = x.join(y, "token").where((F.col("block_x") <= F.col("block_y")) & apart & near)
@@ -229,9 +297,38 @@ def other_pairs(large: DataFrame, scratch: Scratch, similarity: tuple[int, int],
         F.array(F.struct(F.lit(0).alias("side"), F.col("block_x").alias("block")), F.struct(F.lit(1).alias("side"), F.col("block_y").alias("block")))
     )
     cells = scratch.save(cells.select("token", cell, F.explode(sides).alias("s")).select("token", "cell", "s.side", "s.block"), "cells")
-    dealt = ranked.join(cells, ["token", "block"]).select("cell", "side", "n", "id", "place", "root")
-    dealt = dealt.join(sketches, "id").select(*dealt.columns, "sketch") if sketches is not None else dealt.withColumn("sketch", F.lit(bytes(8)))
-    return dealt.repartition("cell").sortWithinPartitions("cell", "side", "n", "id").mapInArrow(lambda it: _cell_pairs(it, similarity), "a long, b long").distinct()
+    return ranked.join(cells, ["token", "block"]).select("cell", "side", "n", "id", "place", "root", "token")
+
+
+def _by_cell(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("cell").sortWithinPartitions("cell", "side", "n", "id")
+
+
+def _with_sketches(dealt: DataFrame, sketches: DataFrame | None) -> DataFrame:
+    return dealt.join(sketches, "id").select(*dealt.columns, "sketch") if sketches is not None else dealt.withColumn("sketch", F.lit(bytes(8)))
+
+
+def other_pairs(large: DataFrame, scratch: Scratch, similarity: tuple[int, int], block: int = BLOCK, sketches: DataFrame | None = None) -> DataFrame:
+    """All pairs (a, b) of rows (token, n, id, place, root) with one token and two roots that can be similar, as far as ``sketches`` (id, sketch) tell.
+
+    Their number grows with the square of a bucket. The stage takes
+    ``nearest_others`` and ``other_links``, which give no row for each pair.
+    """
+    dealt = _with_sketches(in_cells(large, scratch, similarity, block), sketches)
+    return _by_cell(dealt).mapInArrow(lambda it: _cell_pairs(it, similarity), "a long, b long").distinct()
+
+
+def nearest_others(large: DataFrame, scratch: Scratch, similarity: tuple[int, int], block: int = BLOCK, sketches: DataFrame | None = None) -> DataFrame:
+    """Of the rows (token, n, id, place, root) those in one of the ``other_pairs``, in each cell with the nearest ``other`` that it is paired with there, and the gap."""
+    dealt = _with_sketches(in_cells(large, scratch, similarity, block), sketches)
+    return _by_cell(dealt).mapInArrow(lambda it: _cell_nearest(it, similarity), NEAREST)
+
+
+def other_links(large: DataFrame, scratch: Scratch, similarity: tuple[int, int], sets: DataFrame, block: int = BLOCK, members: int = MEMBERS) -> DataFrame:
+    """Pairs (a, b) of rows (token, n, id, place, root) whose whole ``sets`` (id, s) are similar: they join all that the similar ones among the ``other_pairs`` join."""
+    dealt = in_cells(large, scratch, similarity, block, members)
+    dealt = dealt.join(sets, "id").select(*dealt.columns, "s")
+    return _by_cell(dealt).mapInArrow(lambda it: _cell_links(it, similarity), "a long, b long")
 
 
 def prune(pairs: DataFrame, nodes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -265,10 +362,8 @@ def row_filter(keys: DataFrame) -> tuple[DataFrame, Column]:
     return F.broadcast(row), F.expr(f"(shiftright(bits[int({place} div 64)], int({place} % 64)) & 1L) = 1L")
 
 
-def similar(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, scratch: Scratch, size: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough. Only texts that are in a pair are made into sets."""
-    p, q = similarity
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def sets_of(wanted: DataFrame, nodes: DataFrame, keyed: DataFrame, scratch: Scratch, size: int) -> DataFrame:
+    """id and s, the whole set, of the nodes in ``wanted`` (id, each once). No other text is made into a set."""
     places = scratch.save(nodes.join(wanted, "id", "left_semi").select("id", F.col("first.f").alias("f"), F.col("first.r").alias("r")), "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +373,14 @@ def similar(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, scratch: Scrat
 
     bits, named = row_filter(places)
     texts = keyed.select("f", "r", "text").join(bits, named).join(places.hint("shuffle_hash"), ["f", "r"]).select("id", "text")
-    sets = scratch.save(texts.mapInArrow(run, "id long, s array<long>"), "sets")
+    return scratch.save(texts.mapInArrow(run, "id long, s array<long>"), "sets")
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, scratch: Scratch, size: int, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough. Only texts that are in a pair are made into sets."""
+    p, q = similarity
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = sets_of(wanted, nodes, keyed, scratch, size)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     links = scratch.save(both.where(shared * (p + q) >= p * (F.size("sa") + F.size("sb"))).select("a", "b"), "similar")
@@ -360,13 +462,24 @@ def keep_representatives(docs: DataFrame, scratch: Scratch, size: int = SHINGLE,
     apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
     rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left").where(apart).select("a", "b")
     large = found.where("kind = 1").select("token", "n", F.col("a").alias("id"), F.col("b").alias("place"))
-    large = large.join(root("id"), "id", "left").select("token", "n", "id", "place", F.coalesce("root_id", "id").alias("root"))
-    others = other_pairs(large, scratch, similarity, sketches=cell_sketches(nodes)).join(tried, ["a", "b"], "left_anti")
-    others = scratch.save(rest.unionByName(prune(others, nodes, similarity).select("a", "b")), "other_pairs")
+    rooted = lambda rows: rows.join(root("id"), "id", "left").select("token", "n", "id", "place", F.coalesce("root_id", "id").alias("root"))
+    nearest = scratch.save(nearest_others(rooted(large), scratch, similarity, sketches=cell_sketches(nodes)), "nearest")
+    second = nearest.groupBy("id").agg(F.min_by("other", F.struct("gap", "other")).alias("other")).select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
+    others = scratch.save(rest.unionByName(second.distinct().join(tried, ["a", "b"], "left_anti")), "other_pairs")
     if not others.isEmpty():
         links = links.unionByName(similar(others, nodes, keyed, scratch, size, similarity))
         comps = scratch.save(components(links, scratch), "components")
 
+    # Rows of large buckets that may still join two components: their whole sets are compared where they meet, and only links become rows.
+    open_ = rooted(nearest.select("token", "n", "id", "place").distinct())
+    several = open_.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
+    open_ = scratch.save(open_.join(several, "token", "left_semi"), "open")
+    if not open_.isEmpty():
+        sets = sets_of(open_.select("id").distinct(), nodes, keyed, scratch, size)
+        links = links.unionByName(scratch.save(other_links(open_, scratch, similarity, sets), "other_links"))
+        comps = scratch.save(components(links, scratch), "components")
+        scratch.drop(sets)
+
     firsts = nodes.join(comps, nodes["id"] == comps["node"], "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
     kept = scratch.save(firsts.select(F.col("first.f").alias("f"), F.col("first.r").alias("r")), "kept")
     gone = scratch.save(places.join(kept.hint("shuffle_hash"), ["f", "r"], "left_anti"), "gone")

@@ -152,3 +152,69 @@ def test_sketches_in_cells_lose_no_similar_pair(spark, monkeypatch, bits):
     sizes = {(j, i): (len(sets[j]), len(sets[i])) for j, i in gaps}
     assert len(similar) >= 20 and similar <= got
     assert got == {k for k, g in gaps.items() if 9 * g <= sum(sizes[k]) and 5 * min(sizes[k]) >= 4 * max(sizes[k])}
+
+
+def near_group(texts):
+    """A group in whose large buckets a quarter of all pairs may be similar by their sketches and are not, and one link from each of some texts to another."""
+    rng = random.Random(7)
+    base, out = [rng.choice(WORDS) + str(i) for i in range(400)], []
+    for k in range(texts):
+        at = set(rng.sample(range(8, 392, 12), 4 + k % 2))  # two texts of 4 changes have 80 other shingles, of 4 and 5 changes 90: 88 are allowed
+        out.append(" ".join("new%d" % rng.randrange(10**9) if i in at else w for i, w in enumerate(base)))
+    out += [t + " tail%d" % k for k, t in enumerate(out[1:40:2])]
+    return [(i, t, "en", "x", len(t)) for i, t in enumerate(out)]
+
+
+def test_a_group_of_near_copies_makes_no_row_for_each_pair(spark, monkeypatch):
+    made, save = {}, Scratch.save
+
+    def counted(self, df, name="t", **options):
+        out = save(self, df, name, **options)
+        made[name] = made.get(name, 0) + (out.count() if name in ("other_pairs", "nearest", "other_links") else 0)
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    rows = near_group(240)
+    docs = Scratch(spark, "test").save(spark.createDataFrame(rows, DOCS))
+    got = keys(nearsets.keep_representatives(docs, Scratch(spark, "test")))
+    assert got == kept_by_all_pairs(rows)
+    assert made["other_pairs"] < 10 * len(rows)  # one for each pair would be more than 50 for each row
+
+
+def in_pairs(links, n):
+    """The smallest number that each number is joined to."""
+    at = list(range(n))
+    for a, b in links:
+        p, q = at[a], at[b]
+        at = [min(p, q) if x in (p, q) else x for x in at]
+    return at
+
+
+@pytest.mark.parametrize("block,members", [(2048, 1 << 20), (8, 1 << 20), (2048, 1000)])
+def test_cells_join_what_all_pairs_join(spark, block, members):
+    rng, sets = np.random.default_rng(11), []
+    for n in (40, 90, 300):
+        for _ in range(6):
+            whole = rng.integers(0, 2**64, n, dtype=np.uint64)
+            for share in (0, 30, 16, 14, 12, 9):  # the last ones are too far from some of the others
+                gone = n // share if share else 0
+                sets.append(np.unique(np.append(whole[: n - gone], rng.integers(0, 2**64, gone, dtype=np.uint64))))
+    scratch, roots = Scratch(spark, "test"), [i - 1 if i % 12 == 1 else i for i in range(len(sets))]
+    large = spark.createDataFrame([(i % 2 if t else 7, len(s), i, 0, roots[i]) for i, s in enumerate(sets) for t in (0, 1)], "token long, n long, id long, place long, root long")
+    folded = [nearsets.shorter_sketch(nearsets.sketch(s), 128) for s in sets]
+    sketches = spark.createDataFrame([(i, bytearray(s)) for i, s in enumerate(folded)], "id long, sketch binary")
+    whole = spark.createDataFrame([(i, s.view(np.int64).tolist()) for i, s in enumerate(sets)], "id long, s array<long>")
+    pairs = {(r["a"], r["b"]) for r in nearsets.other_pairs(large, scratch, (4, 5), block, sketches).collect()}
+    near = nearsets.nearest_others(large, scratch, (4, 5), block, sketches).collect()
+    assert {r["id"] for r in near} == {x for pair in pairs for x in pair}
+    assert {(max(r["id"], r["other"]), min(r["id"], r["other"])) for r in near} <= pairs
+    gap = lambda a, b: nearsets.sketches_apart(folded[a], folded[b])
+    best = {x: min(gap(*pair) for pair in pairs if x in pair) for pair in pairs for x in pair}
+    assert all(r["gap"] == gap(r["id"], r["other"]) for r in near) and best == {i: min(r["gap"] for r in near if r["id"] == i) for i in best}
+    links = [(r["a"], r["b"]) for r in nearsets.other_links(large, scratch, (4, 5), whole, block, members).collect()]
+    alike = {(a, b) for a, b in pairs if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))}
+    before = list(enumerate(roots))
+    assert set(links) <= alike < pairs and len(alike) > 60
+    assert in_pairs([*links, *before], len(sets)) == in_pairs([*alike, *before], len(sets))
+    if block == 2048 and members > 1000:
+        assert len(links) < 2 * len(sets)
