@@ -28,6 +28,7 @@ SEED = 42
 RADIUS = 2
 SPLIT = 8192
 SMALL = 24  # buckets up to this size are compared pair by lane, many buckets at once
+FEW = 8192  # links that are joined in one process; a job for each step would cost more than the steps
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 FULL = 0xFFFFFFFFFFFFFFFF
 
@@ -258,15 +259,37 @@ def links_between(distinct: DataFrame, scratch: Scratch, split: int = SPLIT, dir
     return scratch.save(links.distinct(), "distinct_links")
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) of every node that has a link, root being the smallest of its component.
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the links, sorted, and of each the smallest of its component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up = list(range(len(nodes)))
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014) until
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i, j in zip(at[: len(a)].tolist(), at[len(a) :].tolist()):
+        i, j = root(i), root(j)
+        up[max(i, j)] = min(i, j)
+    return nodes, nodes[[root(i) for i in range(len(nodes))]] if len(nodes) else nodes
+
+
+def components(links: DataFrame, scratch: Scratch, few: int = FEW) -> DataFrame:
+    """(node, root) of every node that has a link, root being the smallest of its component. ``links`` is a table: it is counted first.
+
+    Up to ``few`` links are joined on the driver. More of them take alternating
+    large-star and small-star steps (Kiveris et al., 2014) until
     the set of links stays the same. All sets stay tables. A node with very
     many links is pre-aggregated for its minimum; the minima are a table of
     their own, so that the join that follows can be split at such a node.
     """
     edges, seen = links.where("a <> b"), None
+    if links.count() <= few:
+        found = edges.select("a", "b").toArrow()
+        nodes, roots = joined(*(c.to_numpy() for c in found.columns))
+        return links.sparkSession.createDataFrame(pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array(roots, pa.int64())}))
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:

@@ -750,3 +750,16 @@ def test_queries_on_the_drivers_tables(spark):
     for r in q["op5_ogg_pages"](spark, DATA).collect():
         payload, n = ogg.payload_of(docs[r["doc_id"]])
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+
+
+def test_few_links_are_joined_as_many_are(spark, scratch, monkeypatch):
+    """The same components either way; the few need no table for each step."""
+    rng = random.Random(5)
+    links = [(a, rng.randrange(a - 3, a + 1) * rng.choice([1, -1])) for a in range(0, 120, 2)] + [(i + 1000, i + 1001) for i in range(40)] + [(-(2**63), 2**63 - 1)]
+    links = scratch.save(spark.createDataFrame(links, "a long, b long"))
+    want = sorted(map(tuple, simhash.components(links, scratch, few=0).collect()))
+    assert len(want) > 90 and len({r for _, r in want}) > 2
+    assert simhash.components(links.where("a = 5000"), scratch).count() == 0
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name="t", **o: (saved.append(name), save(self, df, name, **o))[1])
+    assert sorted(map(tuple, simhash.components(links, scratch).collect())) == want and not saved
